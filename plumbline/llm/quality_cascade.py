@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import discard, materialize, text_or_empty
+from plumbline.llm.common import discard, materialize, spread, text_or_empty
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -120,7 +120,7 @@ def apply_cascade(docs: DataFrame, keep: list[str], rules: list[Rule] | None = N
     """
     rules = rules or default_rules()
     ordered = order_rules(rules, measure(docs.select("text"), rules, sample_rows))
-    counted = with_counts(docs, keep)
+    counted = with_counts(spread(docs.select(*keep, "text")), keep)
     first = F.when(base_failed(), F.lit("base"))
     for rule in ordered:
         first = first.when(rule.fails, F.lit(rule.name))

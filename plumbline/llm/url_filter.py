@@ -89,11 +89,12 @@ def host_stacks(hosts: DataFrame, rules: DataFrame, buckets: int | None = None)
     borders = sorted(r["key"] for r in ranked.collect())
     border = F.array(*[F.lit(b) for b in borders]).cast("array<string>")
     bucket = lambda key: F.size(F.filter(border, lambda b: b <= key))
-    first = spark.range(len(borders)).select(F.element_at(border, (F.col("id") + 1).cast("int")).alias("key"), F.col("id").cast("int").alias("i")) if borders else None
     marks = events.select("key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("host"), "stack", bucket(F.col("key")).alias("bucket"))
-    if first is not None:
-        carried = first.join(events.withColumnRenamed("key", "at"), F.col("at") <= F.col("key")).groupBy("i").agg(F.max(F.struct("at", "stack")).alias("last"))
-        marks = marks.union(carried.select(F.col("last.at"), F.lit(0), F.lit(None).cast("string"), F.col("last.stack"), F.col("i") + 1))
+    if borders:  # what is active at a border is the last stack of the buckets before it; one row a bucket
+        ends = spark.range(len(borders) + 1).withColumnRenamed("id", "bucket").join(marks.groupBy("bucket").agg(F.max(F.struct("key", "stack")).alias("last")), "bucket", "left")
+        before = F.last("last", ignorenulls=True).over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+        carried = ends.select((F.col("bucket")).cast("int").alias("bucket"), before.alias("last")).where("last is not null")
+        marks = marks.union(carried.select(F.lit("").alias("key"), F.lit(0), F.lit(None).cast("string"), F.col("last.stack"), "bucket"))
     points = keyed.select("key", F.lit(1).alias("kind"), "host", F.lit(None).cast(events.schema["stack"].dataType).alias("stack"), bucket(F.col("key")).alias("bucket"))
     sweep = Window.partitionBy("bucket").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     swept = marks.union(points).withColumn("stack", F.last("stack", ignorenulls=True).over(sweep))
