@@ -56,7 +56,7 @@ class Hasher:
 class Ftrl:
     """Weights of ``2**BITS`` slots and a bias (last), updated one example at a time."""
 
-    def __init__(self, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.5, l2: float = 1.0):
+    def __init__(self, alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.1):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(2**BITS + 1), np.zeros(2**BITS + 1)
         self.penalty = np.full(2**BITS + 1, l1)
@@ -75,7 +75,7 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, passes: int = 2) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, passes: int = 4) -> np.ndarray:
     """Dense weights (bias last) learned from at most ``sample_rows`` labelled documents.
 
     Each batch that streams by is replayed ``passes`` times, so nothing but one batch is held.
