@@ -35,7 +35,7 @@ from plumbline.llm.components import connected_components
 
 WORDS, SKETCHES, PICKED = 5, 24, 3
 THRESHOLD = 0.8
-LEADER_BLOCK, PAIR_BLOCK = 4096, 64
+LEADER_BLOCK, BLOCK_WORDS = 4096, 100_000
 _SEEDS = np.random.default_rng(8).integers(1, 2**63, (SKETCHES, 2), np.int64).astype(np.uint64) | np.uint64(1)
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -200,10 +200,10 @@ def _settle(rows: DataFrame, threshold: float) -> DataFrame:
 
 def _pairs_of_blocks(members: DataFrame, block: int) -> DataFrame:
     """Rows of mixed buckets, for each block pair they are needed in: (a, b) with ``a`` a block outside the
-    largest class, ``b`` another of those (b >= a) or, shifted by the number of those, one of the largest class."""
+    largest class, ``b`` another of those (b >= a) or, shifted by the number of those, one of the largest class.
+    Blocks hold about ``block`` words, so that a task's memory is bounded whatever the length of the texts."""
     of: Callable = lambda n: F.greatest(F.ceil(n / F.lit(block)).cast("int"), F.lit(1))
-    out_blocks, in_blocks = of(F.col("n_out")), of(F.col("n_in"))
-    sized = members.withColumn("ob", out_blocks).withColumn("ib", in_blocks)
+    sized = members.withColumn("ob", of(F.col("words_out"))).withColumn("ib", of(F.col("words_in")))
     spread = F.pmod(F.xxhash64(F.lit(5), F.col("node")), F.when(F.col("outside"), F.col("ob")).otherwise(F.col("ib"))).cast("int")
     placed = sized.withColumn("blk", F.when(F.col("outside"), spread).otherwise(F.col("ob") + spread))
     every: Column = F.sequence(F.lit(0), F.col("ob") - 1)
@@ -214,7 +214,7 @@ def _pairs_of_blocks(members: DataFrame, block: int) -> DataFrame:
             F.transform(F.sequence(F.col("ob"), F.col("ob") + F.col("ib") - 1), lambda i: F.struct(F.col("blk").alias("a"), i.alias("b"))),
         ),
     ).otherwise(F.transform(every, lambda o: F.struct(o.alias("a"), F.col("blk").alias("b"))))
-    return placed.withColumn("__p", F.explode(mine)).select("key", F.col("__p.a").alias("a"), F.col("__p.b").alias("b"), "outside", "blk", "node", "comp")
+    return placed.withColumn("__p", F.explode(mine)).select("key", F.col("__p.a").alias("a"), F.col("__p.b").alias("b"), "outside", "blk", "node", "comp", "n_words")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     docs = docs.select("doc_id", "text")
     sketched = materialize(sketches(docs), "sketches")
     nodes = materialize(sketched.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys")), "sketch-nodes")
-    exploded = nodes.where("keys is not null").select("node", F.explode("keys").alias("key"))
+    exploded = nodes.where("keys is not null").select("node", "n_words", F.explode("keys").alias("key"))
     shared = exploded.groupBy("key").count().where("count > 1")
     members = materialize(exploded.join(shared, "key"), "buckets")
 
@@ -238,11 +238,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     roots = connected_components(links)
 
     # Buckets of three or more texts that still lie in different classes.
-    classed = members.where("count > 2").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
-    sizes = classed.groupBy("key", "comp").count()
-    largest = sizes.groupBy("key").agg(F.count("*").alias("classes"), F.sum("count").alias("n"), F.max(F.struct("count", "comp")).alias("top")).where("classes > 1")
-    mixed = classed.join(largest, "key").select("key", "node", "comp", (F.col("comp") != F.col("top.comp")).alias("outside"), (F.col("n") - F.col("top.count")).alias("n_out"), F.col("top.count").alias("n_in"))
-    rows = _pairs_of_blocks(mixed, PAIR_BLOCK).join(nodes.select("node", "n_words", "keys"), "node").join(texts, "node")
+    classed = members.where("count > 2").join(roots, "node", "left").select("key", "node", "n_words", F.coalesce("root", "node").alias("comp"))
+    sizes = classed.groupBy("key", "comp").agg(F.sum("n_words").alias("words"))
+    largest = sizes.groupBy("key").agg(F.count("*").alias("classes"), F.sum("words").alias("words"), F.max(F.struct("words", "comp")).alias("top")).where("classes > 1")
+    mixed = classed.join(largest, "key").select("key", "node", "n_words", "comp", (F.col("comp") != F.col("top.comp")).alias("outside"), (F.col("words") - F.col("top.words")).alias("words_out"), F.col("top.words").alias("words_in"))
+    rows = _pairs_of_blocks(mixed, BLOCK_WORDS).join(nodes.select("node", "keys").join(texts, "node"), "node")
     more = materialize(_settle(rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "node"), threshold), "links")
     if not more.isEmpty():
         roots = connected_components(links.union(more))
