@@ -16,7 +16,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects. A null text is written as an empty one."""
-    return quality_cascade.apply_cascade(docs, [c for c in COLUMNS if c != "text"]).where("kept").select(COLUMNS)
+    return quality_cascade.kept_documents(docs, [c for c in COLUMNS if c != "text"]).select(COLUMNS)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -128,6 +128,16 @@ def apply_cascade(docs: DataFrame, keep: list[str], rules: list[Rule] | None = N
     return judged.withColumn("kept", F.col("failed_rule").isNull())
 
 
+def kept_documents(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` columns and ``text`` of the documents that no rule rejects.
+
+    The partition id in the condition keeps the optimiser from moving the filter below the counts, where it
+    would put every count's whole expression in place of each use.
+    """
+    judged = apply_cascade(docs, keep).withColumn("__here", F.spark_partition_id())
+    return judged.where("kept and __here >= 0").select(*keep, "text")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return apply_cascade(docs, ["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
