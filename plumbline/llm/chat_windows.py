@@ -23,7 +23,6 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from plumbline.llm.chunked_text import ChunkEncoder, hf_encoder

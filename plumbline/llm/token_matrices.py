@@ -16,7 +16,6 @@ or repeat; an empty table gives no sequences; extra columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from plumbline.llm.common import shared_dir, spread, table
+from plumbline.llm.common import spread, table, temporary_path
 from plumbline.llm.document_pieces import cut, encoded_documents
 
 CAPACITY, PAD_ID = 1024, 0
@@ -139,7 +138,7 @@ def write_token_matrices(docs: DataFrame, path: str, tokenizer_path: str, capaci
 def op4_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = f"{shared_dir(spark)}/token-matrices-{uuid.uuid4().hex}"
+    path = temporary_path(spark, "token-matrices")
     written = write_token_matrices(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return written.select(
         "sequence_id",
