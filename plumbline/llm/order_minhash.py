@@ -244,10 +244,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     mixed = classed.join(largest, "key").select("key", "node", "n_words", "comp", (F.col("comp") != F.col("top.comp")).alias("outside"), (F.col("words") - F.col("top.words")).alias("words_out"), F.col("top.words").alias("words_in"))
     rows = _pairs_of_blocks(mixed, BLOCK_WORDS).join(nodes.select("node", "keys").join(texts, "node"), "node")
     more = materialize(_settle(rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "node"), threshold), "links")
-    if not more.isEmpty():
-        roots = connected_components(links.union(more))
-
     named = nodes.select("node", "least", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if not more.isEmpty():  # these few links join classes, not texts
+        at = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        between = more.join(at("u"), "u", "left").join(at("v"), "v", "left").select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))
+        merged = connected_components(between).select(F.col("node").alias("root"), F.col("root").alias("__root"))
+        named = named.join(merged, "root", "left").withColumn("root", F.coalesce("__root", "root")).drop("__root")
+
     classes = named.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("n_class"))
     of_node = named.select("node", "root").join(classes, "root").select("node", "class_id", "n_class")
     return sketched.select("doc_id", "node").join(of_node, "node").select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "n_class")
