@@ -166,13 +166,13 @@ def q_mode_parse(spark, sf):
     return spark.createDataFrame(MODE_ROWS, "id int, mode string").withColumn("p", ff.parsed_mode(F.col("mode"))).select("id", "p.map", "p.degree", "p.c")
 
 
-GRAM = "WITH s AS (SELECT s_suppkey AS id, s_acctbal / 10000 AS a, s_nationkey / 25.0 AS b, CASE WHEN s_nationkey < 5 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS y FROM supplier WHERE s_suppkey <= 100), k AS (SELECT p.id AS i, q.id AS j, p.y * q.y AS yy, p.a * q.a + p.b * q.b AS k FROM s p, s q)"
+GRAM = "WITH s AS (SELECT n_nationkey::BIGINT AS id, n_nationkey / 25.0::DOUBLE AS a, n_regionkey / 5.0::DOUBLE AS b, CASE WHEN n_regionkey < 2 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS y FROM nation), k AS (SELECT p.id AS i, q.id AS j, p.y * q.y AS yy, p.a * q.a + p.b * q.b AS k FROM s p, s q)"
 
 
 def small_points(spark: SparkSession, sf: str) -> DataFrame:
-    """The first hundred suppliers: a kernel matrix is only ever built for tables of a bounded size."""
-    s = spark.read.parquet(f"{sf}/supplier.parquet").where("s_suppkey <= 100")
-    return s.select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") / 10000).alias("a"), (F.col("s_nationkey") / 25.0).alias("b"), prep.sign(F.col("s_nationkey") < 5).alias("y"))
+    """The nations: a kernel matrix is only ever built for a table whose size does not grow."""
+    n = spark.read.parquet(f"{sf}/nation.parquet")
+    return n.select(F.col("n_nationkey").cast("long").alias("id"), (F.col("n_nationkey") / 25.0).alias("a"), (F.col("n_regionkey") / 5.0).alias("b"), prep.sign(F.col("n_regionkey") < 2).alias("y"))
 
 
 def _gram(name: str, spark_value: Callable[[Column], Column], sql_value: str) -> None:
@@ -196,12 +196,12 @@ def q_omega(spark, sf):
     return k.join(y.select(F.col("id").alias("i"), F.col("y").alias("yi")), "i").join(y.select(F.col("id").alias("j"), F.col("y").alias("yj")), "j").select("i", "j", rounded(F.col("yi") * F.col("k") * F.col("yj")).alias("omega"))
 
 
-@query(f"{GRAM}, h AS (SELECT i, j, yy * k + CASE WHEN i = j THEN 1 / 1.1 ELSE 0 END AS v FROM k UNION ALL SELECT 0, id, 1.0 FROM s UNION ALL SELECT id, 0, 1.0 FROM s UNION ALL SELECT 0, 0, 0.0) SELECT i, j, round(v, 6) + 0.0 AS v FROM h")
+@query(f"{GRAM}, h AS (SELECT i, j, yy * k + CASE WHEN i = j THEN 1 / 1.1 ELSE 0 END AS v FROM k UNION ALL SELECT -1, id, 1.0 FROM s UNION ALL SELECT id, -1, 1.0 FROM s UNION ALL SELECT -1, -1, 0.0) SELECT i, j, round(v, 6) + 0.0 AS v FROM h")
 def q_kkt_dense(spark, sf):
     pts = small_points(spark, sf).withColumns({"sa": F.col("y") * F.col("a"), "sb": F.col("y") * F.col("b")})
     inner = solvers.pair_products(pts, "id", ["sa", "sb"]).select("i", "j", (F.col("k") + F.when(F.col("i") == F.col("j"), 1 / 1.1).otherwise(0.0)).alias("v"))
-    zero, one = F.lit(0).cast("long"), F.lit(1.0)
-    border = pts.select(zero.alias("i"), F.col("id").alias("j"), one.alias("v")).union(pts.select("id", zero, one)).union(spark.range(1).select("id", "id", F.lit(0.0)))
+    edge, one = F.lit(-1).cast("long"), F.lit(1.0)
+    border = pts.select(edge.alias("i"), F.col("id").alias("j"), one.alias("v")).union(pts.select("id", edge, one)).union(spark.range(1).select(edge, edge, F.lit(0.0)))
     return inner.union(border).select("i", "j", rounded("v").alias("v"))
 
 
@@ -523,20 +523,26 @@ def q_emul_score_batched(spark, sf):
 
 
 def small_clients(spark: SparkSession, sf: str) -> DataFrame:
-    return prep.one_vs_rest(readers.scaled_lineitem(spark, sf).where("l_orderkey <= 100"), "label", 3)
+    """All suppliers, forty a client: dense solvers see one client's rows at a time."""
+    s = spark.read.parquet(f"{sf}/supplier.parquet")
+    return s.select(F.floor((F.col("s_suppkey") - 1) / 40).cast("int").alias("client_id"), ((F.col("s_acctbal") - 5000) / 3000).alias("x0"), ((F.col("s_suppkey") % 11) / 11 - 0.5).alias("x1"), prep.sign(F.col("s_suppkey") % 3 == 0).alias("y"))
 
 
-SMALL = MODELS.replace("FROM z, (SELECT", "FROM (SELECT * FROM z WHERE l_orderkey <= 100) z, (SELECT")
+SMALL = f"""WITH rows_ AS (SELECT floor((s_suppkey - 1) / 40)::INT AS client_id, (s_acctbal - 5000) / 3000 AS x0, (s_suppkey % 11) / 11 - 0.5::DOUBLE AS x1, CASE WHEN s_suppkey % 3 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS y FROM supplier),
+ms AS (SELECT client_id, count(*) AS n, sum(y) AS sy, {', '.join(f'sum(x{i}) AS s{i}, sum(x{i} * y) AS p{i}' for i in range(2))}, {', '.join(f'sum(x{i} * x{j}) AS g{i}_{j}' for i, j in training.upper(2))} FROM rows_ GROUP BY client_id),
+{elimination_sql('ms', 'client_id', 2, 1.1, 'models')}"""
 
 
-@query(f"{SMALL} SELECT class_idx, client_id, n, {R(['b', *W4], 5)} FROM models")
-def q_qr_solver(spark, sf):
-    return solvers.client_models(small_clients(spark, sf), ["class_idx", "client_id"], X, 1.1, "qr").select("class_idx", "client_id", "n", *[rounded(c, 5).alias(c) for c in ["b", *W4]])
+def _dense(name: str, backend: str) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return solvers.client_models(small_clients(spark, sf), ["client_id"], ["x0", "x1"], 1.1, backend).select("client_id", "n", *[rounded(c, 5).alias(c) for c in ("b", "w0", "w1")])
+
+    run.__name__ = name
+    query(f"{SMALL} SELECT client_id, n, {R(['b', 'w0', 'w1'], 5)} FROM models")(run)
 
 
-@query(f"{SMALL} SELECT class_idx, client_id, n, {R(['b', *W4], 5)} FROM models")
-def q_cg_solver(spark, sf):
-    return solvers.client_models(small_clients(spark, sf), ["class_idx", "client_id"], X, 1.1, "cg").select("class_idx", "client_id", "n", *[rounded(c, 5).alias(c) for c in ["b", *W4]])
+_dense("q_qr_solver", "qr")
+_dense("q_cg_solver", "cg")
 
 
 @query()
