@@ -356,6 +356,22 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch):
     assert order_minhash.near_duplicates(docs_frame(spark, texts).limit(0)).count() == 0
 
 
+def test_scattered_edits_are_found(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for i in range(60):
+        base = [rng.choice(words) for _ in range(rng.randrange(80, 400))]
+        copy = list(base)
+        for at in rng.sample(range(len(base)), int(len(base) * (0.1 + i / 600))):
+            copy[at] = "x"
+        assert order_minhash.similar(base, copy)
+        texts += [" ".join(base), " ".join(copy)]
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(docs_frame(spark, texts)).collect()}
+    assert all(got[i] in (i, i - i % 2) for i in got)
+    assert sum(got[i] == i - 1 for i in range(1, len(texts), 2)) >= 58
+
+
 # 9
 
 
