@@ -24,11 +24,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one of least doc_id, once."""
-    kept = order_minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    same_id = F.coalesce(F.xxhash64("text"), F.lit(0))
-    chosen = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return chosen.withColumn("__h", same_id).dropDuplicates(["doc_id", "__h"]).select(COLUMNS)
+    """One document of each class of near duplicates: the one of least doc_id, then digest."""
+    return order_minhash.one_of_each_class(docs).select(COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

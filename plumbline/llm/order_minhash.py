@@ -221,8 +221,8 @@ def _pairs_of_blocks(members: DataFrame, block: int) -> DataFrame:
     return placed.withColumn("__p", F.explode(mine)).select("key", F.col("__p.a").alias("a"), F.col("__p.b").alias("b"), "outside", "blk", "node", "comp", "n_words")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, class_id (least doc_id of its class), kept (doc_id = class_id), n_class."""
+def _classified(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Sketches of ``docs`` and their nodes: (node, least, copies, root)."""
     docs = docs.select("doc_id", "text")
     sketched = materialize(sketches(docs), "sketches")
     nodes = materialize(sketched.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys")), "sketch-nodes")
@@ -255,10 +255,26 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         merged = connected_components(between).select(F.col("node").alias("root"), F.col("root").alias("__root"))
         named = named.join(merged, "root", "left").withColumn("root", F.coalesce("__root", "root")).drop("__root")
 
+    return sketched, named
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document: doc_id, class_id (least doc_id of its class), kept (doc_id = class_id), n_class."""
+    sketched, named = _classified(docs, threshold)
     classes = named.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("n_class"))
     of_node = named.select("node", "root").join(classes, "root").select("node", "class_id", "n_class")
     return sketched.select("doc_id", "node").join(of_node, "node").select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "n_class")
 
 
+def one_of_each_class(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row of ``docs`` for each class: that of the least doc_id, nulls last, then of the least digest."""
+    _, named = _classified(docs, threshold)
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("unnamed"), "least", "node")).alias("first"))
+    chosen = first.select(F.col("first.least").alias("__least"), F.col("first.node").alias("__node"))
+    digest = docs.withColumn("__digest", F.unhex(F.md5(text_or_empty().cast("binary"))))
+    same = (F.col("__digest") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__least"))
+    return digest.join(chosen, same, "left_semi").dropDuplicates(["__digest"]).drop("__digest")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

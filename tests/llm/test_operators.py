@@ -448,3 +448,14 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.packing(spark, docs, sf).collect()
     assert {r["doc_id"] for r in packed} == before
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()} == before
+
+
+def test_one_row_of_each_class_with_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    a, b, c = (" ".join(f"{x}{rng.randrange(900)}" for _ in range(60)) for x in "abc")
+    rows = [(1, a), (2, a + " more"), (2, b), (3, b), (None, c), (None, a), (None, c), (2, b)]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (2, b), (None, c)], key=str)
