@@ -4,13 +4,14 @@ Turns are rendered as ``<|im_start|>role``, a line feed, the text and ``<|im_end
 strings of this and other common templates inside texts and roles are broken by a backslash after their first
 character; backslashes are doubled; so the text can be read back exactly. A conversation becomes windows of at
 most ``budget`` tokens, cut between turns: the prefix sums of the turns' tokens choose where each window ends.
-Later windows repeat the system turn and as many of the last turns as fit ``history`` tokens. The loss mask
+Later windows repeat the system turn and as many of the last turns as fit ``history`` tokens and leave room for
+the next turn. The loss mask
 covers assistant texts in the window where they are new; repeated ones are masked out.
 
 Turns stream through each task in order, so memory holds one window and its history, however long a
 conversation is. Defined cases: a null text or role is empty; a null turn comes first; rows of equal turn are
 ordered by role and text; a null conv_id is a conversation of its own; a turn longer than the budget gets a
-window of its own, whole; an empty table gives an empty result; extra columns are ignored.
+window of its own, whole, behind the system turn; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -89,7 +90,11 @@ class Windows:
         while self.repeated < len(self.turns):
             prefix = np.concatenate([[0], np.cumsum([t.tokens for t in self.turns])])
             again = self.system is not None and self.number > 0
-            room = self.budget - (self.system.tokens if again else 0) - int(prefix[self.repeated])
+            room = self.budget - (self.system.tokens if again else 0)
+            # repeated turns go, oldest first, until the next new turn fits
+            over = int(np.searchsorted(prefix[: self.repeated], prefix[self.repeated + 1] - room, side="left"))
+            self.turns, self.repeated, prefix = self.turns[over:], self.repeated - over, prefix[over:] - prefix[over]
+            room -= int(prefix[self.repeated])
             end = window_end(prefix, self.repeated, room)
             if end >= len(self.turns) and not last:
                 return

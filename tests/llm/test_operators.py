@@ -434,6 +434,23 @@ def test_chat_round_trip(spark):
     assert chat_windows.format_conversations(frame.limit(0), JSON).count() == 0
 
 
+def test_windows_keep_the_budget_behind_history():
+    rng = random.Random(8)
+    for system in (0, 1) * 50:
+        sizes = [rng.choice([5, 20, 40, 55, 150, 185, 200, 260]) for _ in range(40)]
+        turns = [chat_windows.Turn("system" if system and not i else "user", str(i), tokens=20 if system and not i else n) for i, n in enumerate(sizes)]
+        state = chat_windows.Windows(200, 60)
+        made = [w for k in range(0, 40, 7) for w in state.add(turns[k : k + 7], False)] + list(state.add([], True))
+        assert made == list(chat_windows.Windows(200, 60).add(turns, True))
+        done = 0
+        for number, first, repeated, new, tokens, _, _ in made:
+            front = 20 if system and number else 0
+            assert first == done and new >= 1
+            assert tokens <= 200 or (new == 1 and repeated == bool(front) and front + turns[first].tokens > 200)
+            done += new
+        assert done == 40
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
