@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from plumbline.operators.prep import standardised
 
 FEATURES = {"lineitem": ["x0", "x1", "x2", "x3"], "documents": ["x0", "x1", "x2", "x3", "x4"]}
-#: Kernel of each class of a dataset; others are linear (fixed values).
-KERNELS = {"lineitem": {0: "linear", 1: "poly", 2: "poly"}}
 
 
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
