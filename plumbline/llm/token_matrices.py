@@ -3,8 +3,9 @@
 Documents are encoded, closed by an end id, and cut into pieces of at most ``capacity`` ids without loss. Within
 a window of pieces (bounded by ids and by pieces, so memory is bounded too) they are packed best-fit decreasing: a
 segment tree over remaining capacities finds the fullest sequence that still fits. Windows follow the input's
-partitions, so nothing is shuffled and no task depends on another; a sequence is left open at the end of a
-window at the most once per piece size, which costs far less than one sequence in a hundred.
+partitions, so nothing is shuffled and no task depends on another; sequences
+left open at the end of a window or partition stay so. No ids are lost, but the number of sequences depends on the
+file layout: the fewer documents a partition holds, the more padding there is.
 
 Each sequence is a row of the id matrix: ``capacity`` little-endian ids (uint16 where the vocabulary allows,
 else uint32), padded at the end. ``cu_seqlens`` holds the cumulative lengths of its segments from 0, and
