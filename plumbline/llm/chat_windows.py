@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_type
 
-from plumbline.llm.chunked_text import ChunkEncoder, hf_encoder
+from plumbline.llm.chunked_text import hf_chunks
 from plumbline.llm.common import table
 
 BEGIN, END = "<|im_start|>", "<|im_end|>\n"
@@ -132,7 +132,7 @@ def format_conversations(turns: DataFrame, tokenizer_path: str, budget: int = BU
     schema = f"conv_id {turns.schema['conv_id'].dataType.simpleString()}, {WINDOW_COLUMNS}"
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(hf_encoder(tokenizer_path))
+        encoder = hf_chunks(tokenizer_path)
         key, state = object(), None
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -141,8 +141,8 @@ def format_conversations(turns: DataFrame, tokenizer_path: str, budget: int = BU
         for part in batches:
             keys = part.column(0).to_pylist()
             made = [Turn(r or "", t or "") for r, t in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
-            for t, ids in zip(made, encoder.encode([t.rendered for t in made])):
-                t.tokens = len(ids) // 4
+            for t, tokens in zip(made, encoder.encode([t.rendered for t in made])[1].tolist()):
+                t.tokens = tokens
             rows: list[tuple] = []
             begin = 0
             for i in range(1, len(keys) + 1):

@@ -2,92 +2,250 @@
 
 With the usual byte-level pattern a token boundary always lies before a space that a non-space follows: a run
 of white space gives its last character to the token after it. A text is therefore the concatenation of
-chunks that can be encoded by themselves, and equal chunks need to be encoded once.
+chunks that can be encoded by themselves, and equal chunks need to be encoded once. So need the pre-tokens of new
+chunks. The ids of all known strings lie in one array; those of a batch of texts are gathered from it at once.
 """
 
 from __future__ import annotations
 
+import functools
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A space that no chunk may start with: one before white space or the end.
 _LOOSE = re.compile(r" (?!\S)")
 _BEFORE = re.compile(r"(?= \S)")
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 4_000_000
+
+#: Encodes a list of strings: all ids in order, and the number of ids of each string.
+Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+
+
+def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The indices start, start + 1, .. of every run, one run after the other."""
+    lengths = lengths.astype(np.int64)
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+
+
+class Store:
+    """Ids of known strings in one array, with a row number for each string."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+        self.n = self.used = 0
+        self.ids, self.start, self.length = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def add(self, strings: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.n + len(strings) > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        self.ids[self.used : self.used + len(ids)] = ids
+        at = slice(self.n, self.n + len(strings))
+        self.length[at] = lengths
+        self.start[at] = self.used + np.cumsum(lengths) - lengths
+        self.known.update(zip(strings, range(self.n, at.stop)))
+        self.n, self.used = at.stop, self.used + len(ids)
+
+    def rows(self, strings: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, strings), np.int64, len(strings))
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the rows in order, and the number of ids of each."""
+        lengths = self.length[rows]
+        return self.ids[runs(self.start[rows], lengths)], lengths
+
+    def only(self, strings: list[str]) -> Store:
+        out = Store()
+        out.add(strings, *self.gather(self.rows(strings)))
+        return out
+
+
+class Cache:
+    """Ids of distinct strings. At most ``max_entries`` are kept from call to call (the latest ones beyond that),
+    and none longer than ``longest``."""
+
+    def __init__(self, encode: Encode, max_entries: int, longest: int = 64):
+        self.encode, self.max_entries, self.longest = encode, max_entries, longest
+        self.store = Store()
+
+    def use(self, strings: set[str]) -> Store:
+        """A store with all ``strings``."""
+        new = list(strings.difference(self.store.known))
+        if len(self.store.known) + len(new) > self.max_entries:
+            self.store = self.store.only(list(strings.intersection(self.store.known)))
+        if new:
+            new.sort(key=lambda x: len(x) > self.longest)  # long strings come last
+            self.store.add(new, *self.encode(new))
+        return self.store
+
+    def drop_long(self, strings: set[str]) -> None:
+        store = self.store
+        for row in sorted((store.known.pop(x) for x in [x for x in strings if len(x) > self.longest]), reverse=True):
+            store.n, store.used = row, int(store.start[row])
+
+
+class PretokenEncoder:
+    """Encodes strings by their pre-tokens, the matches of ``pattern``; a pre-token of the cache is not encoded again."""
+
+    def __init__(self, pattern: str, encode: Encode, max_entries: int):
+        import regex
+
+        self.split, self.cache = regex.compile(pattern).findall, Cache(encode, max_entries)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self.split(x) for x in texts]
+        coded = pa.array([p for x in parts for p in x], pa.string()).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        used = set(distinct)
+        store = self.cache.use(used)
+        ids, lengths = store.gather(store.rows(distinct)[coded.indices.to_numpy()])
+        self.cache.drop_long(used)
+        total = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([len(x) for x in parts])]
+        return ids, np.diff(total, prepend=0)
 
 
 class ChunkEncoder:
-    """``encode_many`` turns a list of strings into a list of ids as little-endian uint32 bytes."""
-
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], max_entries: int = 300_000, longest: int = 64):
-        self.encode_many, self.max_entries, self.longest = encode_many, max_entries, longest
-        self.known: dict[str, bytes] = {}  # chunks without their leading space
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        plain: list[tuple[str, list[str]]] = []
-        distinct: set[str] = set()
-        firsts: dict[str, bytes] = {}
-        for text in texts:
-            if _LOOSE.search(text):
+    """Ids of whole texts. ``whole`` are strings that chunks must not cut; a text with one is encoded by itself."""
+
+    def __init__(self, encode: Encode, whole: tuple[str, ...] = (), max_entries: int = 600_000, longest: int = 64):
+        # chunks without their leading space; a text's first chunk has one more
+        self.whole, self.cache = whole, Cache(lambda chunks: encode([x[1:] if x[:1] == " " else " " + x for x in chunks]), max_entries, longest)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids (uint32) of the texts in order, and the number of ids of each text."""
+        odd: dict[int, list[str]] = {}
+        for i, text in enumerate(texts):
+            if any(x in text for x in self.whole):
+                odd[i] = [" " + text]
+            elif _LOOSE.search(text):
                 first, *rest = _BEFORE.split(text)
                 if first[:1] == " " and first[1:2].strip():
                     first, rest = "", [first, *rest]
-                parts = [x[1:] for x in rest]
-            else:
-                first, *parts = text.split(" ")
-            plain.append((first, parts))
-            distinct.update(parts)
-            firsts[first] = b""
-        new = list(distinct.difference(self.known))
-        if len(self.known) + len(new) > self.max_entries:
-            self.known.clear()
-            new = list(distinct)
-        self.known.update(zip(new, self.encode_many([" " + x for x in new])))
-        firsts = dict(zip(firsts, self.encode_many(list(firsts))))
-        get = self.known.__getitem__
-        out = [b"".join((firsts[first], *map(get, parts))) for first, parts in plain]
-        for x in new:
-            if len(x) > self.longest:
-                del self.known[x]
-        return out
+                odd[i] = [" " + first, *(x[1:] for x in rest)]
+        split = pc.split_pattern(pa.array(["" if i in odd else x for i, x in enumerate(texts)] if odd else texts, pa.string()), " ")
+        coded = split.flatten().dictionary_encode()
+        begin = split.offsets.to_numpy().astype(np.int64)
+        firsts = [" " + x for x in coded.take(pa.array(begin[:-1])).to_pylist()]
+        distinct = coded.dictionary.to_pylist()
+        used = set(distinct).union(firsts, *odd.values())
+        store = self.cache.use(used)
+        rows = store.rows(distinct)[coded.indices.to_numpy()]
+        rows[begin[:-1]] = store.rows(firsts)
+        count = np.diff(begin)
+        if odd:
+            parts = np.split(rows, begin[1:-1])
+            for i, chunks in odd.items():
+                parts[i] = store.rows(chunks)
+            rows, count = np.concatenate(parts), np.array([len(x) for x in parts])
+        ids, lengths = store.gather(rows)
+        total = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(count)]
+        self.cache.drop_long(used)
+        return ids, np.diff(total, prepend=0)
+
+
+#: The pattern that the library's byte-level pre-tokenizer splits by (a fixed value of it).
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 
+def _is_byte_level(definition: dict) -> bool:
+    """Whether a tokenizer does no more than split by BYTE_LEVEL and merge bytes."""
+    first = definition.get("pre_tokenizer") or {}
+    return (first.get("type"), first.get("add_prefix_space"), first.get("use_regex")) == ("ByteLevel", False, True) and not definition.get("normalizer") and definition["model"]["type"] == "BPE"
 
-def hf_encoder(tokenizer_path: str) -> Callable[[list[str]], list[bytes]]:
-    """Encoder by the ``tokenizers`` library; strings of special tokens in a text are ordinary text."""
+
+@functools.lru_cache(maxsize=2)
+def hf_chunks(tokenizer_path: str, special_as_text: bool = False) -> ChunkEncoder:
+    """Encoder by the ``tokenizers`` library without added special tokens, kept for the life of the process.
+
+    A special token's string in a text gives that token's id, as a plain call of the library does, or ordinary
+    text if ``special_as_text``.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = special_as_text
+    added = () if special_as_text else tuple(x.content for x in tokenizer.get_added_tokens_decoder().values())
+
+    def many(texts: list[str]) -> list[list[int]]:
+        return [e.ids for i in range(0, len(texts), 256) for e in tokenizer.encode_batch_fast(texts[i : i + 256], add_special_tokens=False)]
+
+    def singly(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = many(texts)
+        return np.array([x for ids in found for x in ids], np.uint32), np.array([len(x) for x in found], np.int64)
+
+    if _is_byte_level(json.loads(tokenizer.to_str())):
+        plain = Tokenizer.from_file(tokenizer_path)
+        plain.encode_special_tokens = True
+        plain.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+
+        def pretokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            ids: list[int] = []
+            ends = []
+            for i in range(0, len(texts), 1000):
+                for e in plain.encode_batch_fast(texts[i : i + 1000], add_special_tokens=False):
+                    ids += e.ids
+                    ends.append(len(ids))
+            return np.array(ids, np.uint32), np.diff(np.array(ends, np.int64), prepend=0)
+
+        split = PretokenEncoder(BYTE_LEVEL, pretokens, 300_000)
+
+        def by_pretokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            together = "".join(texts)
+            if not any(a in together for a in added):
+                return split.encode(texts)
+            parts = [singly([x]) if any(a in x for a in added) else split.encode([x]) for x in texts]
+            return np.concatenate([ids for ids, _ in parts]), np.concatenate([n for _, n in parts])
+
+        return ChunkEncoder(by_pretokens, added)
 
     mark = "\x0b"
     (mark_id,) = tokenizer.encode(mark, add_special_tokens=False).ids
 
-    def singly(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(texts: list[str]) -> list[bytes]:
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Short chunks are encoded many at a time: a vertical tab between two of them is a token of its own, as
         white space before a space and a non-space is. Chunks that could blend with it go one by one."""
-        joint = [i for i, x in enumerate(texts) if x[:1] == " " and x[1:2].strip() and mark not in x and not x[-1].isspace()]
-        out = dict(zip(others := sorted(set(range(len(texts))).difference(joint)), singly([texts[i] for i in others])))
+        joint, single = [], []
+        for i, x in enumerate(texts):
+            (joint if x[:1] == " " and x[1:2].strip() and not x[-1].isspace() and mark not in x else single).append(i)
         groups = [joint[i : i + 400] for i in range(0, len(joint), 400)]
-        for group, e in zip(groups, tokenizer.encode_batch_fast([mark.join([texts[i] for i in group]) for group in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, dtype="<u4")
-            ends = [*np.nonzero(ids == mark_id)[0].tolist(), len(ids)]
-            if len(ends) != len(group):
-                out |= zip(group, singly([texts[i] for i in group]))
-                continue
-            raw, begin = ids.tobytes(), 0
-            for i, end in zip(group, ends):
-                out[i] = raw[4 * begin : 4 * end]
-                begin = end + 1
-        return [out[i] for i in range(len(texts))]
-
-    return encode
+        places, found = [], []
+        for group, ids in zip(groups, many([mark.join([texts[i] for i in group]) for group in groups])):
+            if ids.count(mark_id) == len(group) - 1:
+                places += group
+                found += ids
+                found.append(mark_id)
+            else:
+                single += group
+        found = np.array(found, np.uint32)
+        ends = np.flatnonzero(found == mark_id)
+        length = np.zeros(len(texts), np.int64)
+        start = np.zeros(len(texts), np.int64)
+        length[places] = np.diff(ends, prepend=-1) - 1
+        start[places] = ends - length[places]
+        alone = many([texts[i] for i in single])
+        length[single] = [len(x) for x in alone]
+        start[single] = len(found) + np.cumsum(length[single]) - length[single]
+        ids = np.concatenate([found, *(np.array(x, np.uint32) for x in alone)])
+        return ids[runs(start, length)], length
+
+    return ChunkEncoder(encode, added)
+
+
+@functools.lru_cache(maxsize=8)
+def vocabulary_size(tokenizer_path: str) -> int:
+    """One more than the largest id of the tokenizer."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(tokenizer_path).get_vocab().values()) + 1
 
 
 def text_batches(columns: list[list], texts: list[str | None]) -> Iterator[tuple[list[list], list[str]]]:

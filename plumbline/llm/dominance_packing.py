@@ -2,12 +2,13 @@
 
 Pieces of one length are interchangeable, so the instance is its histogram: at most ``capacity`` counts, however
 many documents there are. The driver reduces it (sets that dominate every other way to fill the sequence of an
-item are fixed for good), packs the rest best-fit decreasing, and gets groups of equal sequences. Pieces find
+item are fixed for good, in rounds until no length has one), packs the rest best-fit decreasing, and gets groups of equal sequences. Pieces find
 their place by their rank among the pieces of their length: ranks are counted in hash buckets, offset by the
 counts of the buckets before, so that no length's pieces are ever gathered in one task.
 
 Defined cases: a null text is empty and packs as its end id alone; repeated rows are packed each; an empty
-table packs into nothing; a key may be null or repeat; extra columns of the documents are ignored.
+table packs into nothing; a key may be null or repeat; the string of a special token in a text is that token,
+unless ``special_as_text``; extra columns of the documents are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from plumbline.llm.document_pieces import token_pieces
 CAPACITY = 1024
 #: Ranks are counted in buckets of about this many pieces.
 BUCKET_ROWS = 200_000
+#: Placement rows up to which they are broadcast: six numbers each, some ten MB at most.
+BROADCAST_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -73,7 +76,7 @@ class _Pool:
 def reduce_by_dominance(histogram: dict[int, int], capacity: int) -> tuple[list[Group], dict[int, int]]:
     """Fixed sequences and the histogram of what is left.
 
-    For the largest open length j with room R beside it, and k the largest piece that fits R, a set S with j
+    For an open length j, the largest first, with room R beside it, and k the largest piece that fits R, a set S with j
     dominates when every feasible set beside j can be exchanged for S piece by piece: {j} if nothing fits; {j, k}
     if k fills R, if no two pieces fit R, or if at most two do and no pair exceeds k; {j, k, b} if at most two
     fit, b is the largest that fits beside k, and no pair has a lower member above b.
@@ -86,30 +89,30 @@ def reduce_by_dominance(histogram: dict[int, int], capacity: int) -> tuple[list[
         pool.take(*chosen, times=times)
         fixed.append(Group(tuple((x, chosen.count(x)) for x in sorted(set(chosen), reverse=True)), times))
 
-    for j in range(capacity, 0, -1):
-        while pool.n[j]:
-            room = capacity - j
-            k = pool.largest(room, (j,))
-            if not k:
-                fix(j)
-                continue
-            if k == room:
-                fix(j, k)
-                continue
-            small = pool.smallest(3, j)
-            if len(small) < 2 or small[0] + small[1] > room:
-                fix(j, k)
-                continue
-            if len(small) == 3 and sum(small) <= room:
-                break
-            lower, best = pool.lower_of_best_pair(room, j)
-            if best <= k:
-                fix(j, k)
-                continue
-            b = pool.largest(room - k, (j, k))
-            if not b or b < lower:
-                break
-            fix(j, k, b)
+    def dominating(j: int) -> tuple[int, ...] | None:
+        """The partners of a set with ``j`` that dominates; None if none is known."""
+        room = capacity - j
+        k = pool.largest(room, (j,))
+        if not k:
+            return ()
+        small = pool.smallest(3, j)
+        if k == room or len(small) < 2 or small[0] + small[1] > room:
+            return (k,)
+        if len(small) == 3 and sum(small) <= room:
+            return None
+        lower, best = pool.lower_of_best_pair(room, j)
+        if best <= k:
+            return (k,)
+        b = pool.largest(room - k, (j, k))
+        return (k, b) if b and b >= lower else None
+
+    more = True
+    while more:  # sets that were fixed late can open the way for lengths that were passed over
+        before = len(fixed)
+        for j in range(capacity, 0, -1):
+            while pool.n[j] and (partners := dominating(j)) is not None:
+                fix(j, *partners)
+        more = len(fixed) > before
     return fixed, {x: c for x, c in enumerate(pool.n) if c}
 
 
@@ -176,8 +179,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = (
     ranked = placed.withColumn("__rank", rank).join(before, ["length", "__b"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
     rows = segments(plan(histogram, capacity))
     found = spark.createDataFrame(rows, "length long, __first long, __after long, __sequence long, __each long, __offset long")
-    if len(rows) <= 200_000:  # some ten MB at most; the plan has few groups beyond the square of the distinct lengths
-        found = F.broadcast(found)
+    found = F.broadcast(found) if len(rows) <= BROADCAST_ROWS else found.hint("merge")
     at = (F.col("__rank") - F.col("__first")).cast("long")
     return (
         ranked.join(found, (ranked["length"] == found["length"]) & (F.col("__rank") >= F.col("__first")) & (F.col("__rank") < F.col("__after")))
@@ -189,9 +191,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = (
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, special_as_text: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = token_pieces(docs, tokenizer_path, capacity).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    pieces = token_pieces(docs, tokenizer_path, capacity, special_as_text=special_as_text).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return pack(materialize(pieces, "pieces"), capacity, ("doc_id", "piece", "start", "length", "ids_crc32"))
 
 

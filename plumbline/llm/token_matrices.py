@@ -1,7 +1,7 @@
 """Packed token-id matrices with segment lengths and position resets.
 
 Documents are encoded, closed by an end id, and cut into pieces of at most ``capacity`` ids without loss. Within
-a window of pieces (bounded by ids and by pieces, so memory is bounded too) they are packed best-fit decreasing: a
+a window of pieces (some millions of ids, so memory is bounded) they are packed best-fit decreasing: a
 segment tree over remaining capacities finds the fullest sequence that still fits. Windows follow the input's
 partitions, so nothing is shuffled and no task depends on another; sequences
 left open at the end of a window or partition stay so. No ids are lost, but the number of sequences depends on the
@@ -12,7 +12,8 @@ else uint32), padded at the end. ``cu_seqlens`` holds the cumulative lengths of
 ``position_ids`` restarts from 0 in every segment (little-endian uint16, 0 in the padding).
 
 Defined cases: a null text is empty and gives its end id alone; repeated rows are packed each; keys may be null
-or repeat; an empty table gives no sequences; extra columns are ignored.
+or repeat; the string of a special token in a text is that token, unless ``special_as_text``; an empty table gives
+no sequences; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,11 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from plumbline.llm.chunked_text import runs, vocabulary_size
 from plumbline.llm.common import spread, table, temporary_path
-from plumbline.llm.document_pieces import cut, encoded_documents
+from plumbline.llm.document_pieces import END_ID, binaries, cut, encoded_documents
 
 CAPACITY, PAD_ID = 1024, 0
-WINDOW_IDS, WINDOW_PIECES = 4_000_000, 30_000
+WINDOW_IDS, WINDOW_PIECES = 3_000_000, 30_000
 
 
 class CapacityTree:
@@ -84,45 +86,61 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     return out
 
 
-def packed_sequences(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, key: str = "doc_id", vocabulary: int = 50_257) -> DataFrame:
+def packed_sequences(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, key: str = "doc_id", special_as_text: bool = False) -> DataFrame:
     """One row per sequence: sequence_id, n_tokens, ids, cu_seqlens, position_ids, doc_ids, pieces, starts."""
     if capacity > 65_535:
         raise ValueError("positions are 16-bit")
-    dtype = np.dtype("<u2" if vocabulary <= 65_536 else "<u4")
     key_type = to_arrow_type(docs.schema[key].dataType)
     schema = f"sequence_id long, n_tokens int, ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<{docs.schema[key].dataType.simpleString()}>, pieces array<int>, starts array<long>"
-    types = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.list_(key_type), pa.list_(pa.int32()), pa.list_(pa.int64()))
     names = ["sequence_id", "n_tokens", "ids", "cu_seqlens", "position_ids", "doc_ids", "pieces", "starts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dtype = np.dtype("<u2" if max(vocabulary_size(tokenizer_path), END_ID + 1) <= 65_536 else "<u4")
         made = TaskContext.get().partitionId() << 33
-        steps = np.arange(capacity, dtype="<u2")
-        waiting: list[tuple] = []  # key, piece, start, ids
-        held = 0
+        waiting: list[tuple] = []  # keys, piece, start, length, ids of a part of the window
 
         def flush() -> pa.RecordBatch:
-            nonlocal made, held
-            rows = []
-            for members in best_fit_decreasing([len(p[3]) for p in waiting], capacity):
-                inside = [waiting[i] for i in members]
-                ends = np.cumsum([len(p[3]) for p in inside])
-                ids, positions = np.full(capacity, PAD_ID, dtype), np.zeros(capacity, "<u2")
-                for p, end in zip(inside, ends):
-                    ids[end - len(p[3]) : end] = p[3]
-                    positions[end - len(p[3]) : end] = steps[: len(p[3])]
-                rows.append((made, int(ends[-1]), ids.tobytes(), [0, *ends.tolist()], positions.tobytes(), *([p[k] for p in inside] for k in range(3))))
-                made += 1
+            nonlocal made
+            keys = pa.concat_arrays([w[0] for w in waiting])
+            piece, start, length, ids = (np.concatenate([w[k] for w in waiting]) for k in range(1, 5))
             waiting.clear()
-            held = 0
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-
-        for keys, encoded in encoded_documents(batches, tokenizer_path):
-            for k, raw in zip(keys, encoded):
-                ids = np.frombuffer(raw, "<u4").astype(dtype)
-                for piece, (start, n) in enumerate(cut(len(ids), capacity)):
-                    waiting.append((k, piece, start, ids[start : start + n]))
-                held += len(ids)
-                if held >= WINDOW_IDS or len(waiting) >= WINDOW_PIECES:
+            members = best_fit_decreasing(length.tolist(), capacity)
+            sizes = np.array([len(m) for m in members])
+            order = np.fromiter((i for m in members for i in m), np.int64, len(length))  # pieces as they lie in the rows
+            row, placed = np.repeat(np.arange(len(members)), sizes), length[order]
+            ends = np.cumsum(placed)
+            tokens = np.bincount(row, placed, len(members)).astype(np.int64)
+            inside = ends - placed - np.repeat(np.cumsum(tokens) - tokens, sizes)  # offset of a piece in its row
+            to = runs(row * capacity + inside, placed)
+            matrix, positions = np.full(len(members) * capacity, PAD_ID, dtype), np.zeros(len(members) * capacity, "<u2")
+            matrix[to] = ids[runs((np.cumsum(length) - length)[order], placed)]
+            positions[to] = runs(np.zeros(len(order), np.int64), placed)
+            lists = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            borders = np.insert(inside + placed, np.cumsum(sizes) - sizes, 0)
+            full = np.full(len(members), capacity)
+            out = pa.RecordBatch.from_arrays(
+                [
+                    pa.array(made + np.arange(len(members)), pa.int64()),
+                    pa.array(tokens, pa.int32()),
+                    binaries(matrix, full),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes + 1)]), pa.int32()), pa.array(borders, pa.int32())),
+                    binaries(positions, full),
+                    pa.ListArray.from_arrays(lists, keys.take(pa.array(order))),
+                    pa.ListArray.from_arrays(lists, pa.array(piece[order], pa.int32())),
+                    pa.ListArray.from_arrays(lists, pa.array(start[order], pa.int64())),
+                ],
+                names=names,
+            )
+            made += len(members)
+            return out
+
+        for keys, ids, counts in encoded_documents(batches, tokenizer_path, special_as_text=special_as_text):
+            document, piece, start, length = cut(counts, capacity)
+            named, begin, ids = pa.array(keys, key_type).take(pa.array(document)), np.cumsum(length) - length, ids.astype(dtype)
+            for i in range(0, len(length), WINDOW_PIECES):
+                at = slice(i, i + WINDOW_PIECES)
+                waiting.append((named[at], piece[at], start[at], length[at], ids[begin[i] : begin[i] + int(length[at].sum())]))
+                if sum(len(w[4]) for w in waiting) >= WINDOW_IDS or sum(len(w[3]) for w in waiting) >= WINDOW_PIECES:
                     yield flush()
         if waiting:
             yield flush()
