@@ -1,13 +1,16 @@
 """Toxicity scores by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are the distinct words, word pairs and pairs with one word between them of a whole text, lower-cased,
-each hashed into ``2**BITS`` slots. One task streams a bounded, documented sample of labelled documents
-(``sample_rows``, in the order of a hash of the id) through follow-the-regularised-leader updates: every
-coordinate has its own rate, and L1 keeps all but some hundred weights at zero, so the model that the driver
-collects and every task gets is at most ``2**BITS`` weights.
+each hashed into ``2**BITS`` slots. A bounded, documented sample of labelled documents (``sample_rows``, in the
+order of a hash of the id) is written once; each of ``passes`` jobs sends the whole of it, in that order, through
+follow-the-regularised-leader updates in one task, which holds one batch and the state of the slots. So neither
+the batches nor the layout of the input change the weights, and a lost executor costs one pass. Every coordinate
+has its own rate, and L1 keeps all but some hundred weights at zero. The driver gets the state, ``2**BITS`` pairs
+of numbers, after each pass; every scoring task gets the weights that are not zero.
 
 Defined cases: a null text counts as empty and scores the bias; without usable labels every score is 0.5;
-repeated rows are each scored; an empty table gives an empty result; extra columns are ignored.
+repeated rows are each scored; an empty table gives an empty result; a kept column named ``score`` gives way to
+the result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from plumbline.llm.common import held_out, spread, table, training_labels
+from plumbline.llm.common import discard, held_out, materialize, spread, table, training_labels
 
 BITS = 18
 _WORD = re.compile(r"\w+")
@@ -76,10 +79,7 @@ class Ftrl:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, passes: int = 4) -> np.ndarray:
-    """Dense weights (bias last) learned from at most ``sample_rows`` labelled documents.
-
-    Each batch that streams by is replayed ``passes`` times, so nothing but one batch is held.
-    """
+    """Dense weights (bias last) learned from at most ``sample_rows`` labelled documents in ``passes`` passes."""
     chosen = F.broadcast(training_labels(labels, "toxic", sample_rows))  # at most `sample_rows` ids
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,28 +88,30 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, passes:
             slots = [hasher.slots(t or "").astype(np.int32) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(slots, pa.list_(pa.int32()))], names=["doc_id", "y", "slots"])
 
+    sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "y", "text")
+    rows = sample.mapInArrow(hashed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, slots array<int>")
+    order = [F.xxhash64("doc_id"), "doc_id", "y", "slots"]
+    kept = materialize(rows.orderBy(*order).limit(sample_rows), "ftrl-sample")
+    streamed = kept.coalesce(1).sortWithinPartitions(*order).select("y", "slots")
+    model = Ftrl()
+
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Ftrl()
         for batch in batches:
-            rows = [(s.values.to_numpy().astype(np.int64), float(y)) for y, s in zip(batch.column(0).to_pylist(), batch.column(1))]
-            for _ in range(passes):
-                for slots, y in rows:
-                    model.learn(slots, y)
-        w = model.weights(slice(None))
-        at = np.nonzero(w)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(w[at], pa.float64())], names=["slot", "weight"])
+            ends, slots = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
+            for y, begin, end in zip(batch.column(0).to_pylist(), ends, ends[1:]):
+                model.learn(slots[begin:end], float(y))
+        yield pa.RecordBatch.from_arrays([pa.array([model.z.tobytes()]), pa.array([model.n.tobytes()])], names=["z", "n"])
 
-    sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "y", "text")
-    rows = sample.mapInArrow(hashed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, slots array<int>")
-    ordered = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "slots").limit(sample_rows).coalesce(1)
-    weights = np.zeros(2**BITS + 1)
-    for r in ordered.select("y", "slots").mapInArrow(learned, "slot int, weight double").collect():
-        weights[r["slot"]] = r["weight"]
-    return weights
+    for _ in range(passes):
+        for state in streamed.mapInArrow(learned, "z binary, n binary").collect():  # one row, or none of an empty sample
+            model.z, model.n = (np.frombuffer(bytes(state[k])).copy() for k in ("z", "n"))
+    discard(kept)
+    return model.weights(slice(None))
 
 
 def score_documents(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
     """``keep`` columns and ``score`` of every document."""
+    keep = [k for k in keep if k.lower() != "score"]
     types = [to_arrow_type(docs.schema[k].dataType) for k in keep]
     slot = np.nonzero(weights)[0]
     value = weights[slot]
