@@ -7,7 +7,9 @@ a batch of documents walks all trees at once by array indexing.
 
 Defined cases: a null text counts as empty and is scored like any other; without usable labels every score is
 0.5, with labels of one class it is their smoothed share; repeated rows are each scored; repeated ids in the
-documents may each bring a row to the sample; an empty table gives an empty result; extra columns are ignored.
+documents may each bring a row to the sample, which then takes the first by the order of that hash; an empty table
+gives an empty result; a kept column named like a result (``score``, ``statistics``) gives way to it; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -121,6 +123,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
 
 def document_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns and ``statistics`` (array<double> in the order of STATISTICS)."""
+    keep = [k for k in keep if k.lower() != "statistics"]
     types = [to_arrow_type(docs.schema[k].dataType) for k in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,19 +132,20 @@ def document_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i).cast(t) for i, t in enumerate(types)), pa.array(values, pa.list_(pa.float64()))], names=[*keep, "statistics"])
 
     schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select(*keep, "text").mapInArrow(run, f"{schema}, statistics array<double>")
+    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{schema}, statistics array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, **options: float) -> Trees:
     """Learns from at most ``sample_rows`` labelled documents."""
     chosen = F.broadcast(training_labels(labels, "quality", sample_rows))  # at most `sample_rows` ids
-    sample = document_statistics(docs.select("doc_id", "text").join(chosen, "doc_id"), ["doc_id", "y"]).limit(sample_rows).collect()
-    sample.sort(key=lambda r: (r["doc_id"], r["statistics"]))
+    rows = document_statistics(docs.select("doc_id", "text").join(chosen, "doc_id"), ["doc_id", "y"])
+    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y", "statistics").limit(sample_rows).collect()  # at most `sample_rows` rows
     return fit(np.array([r["statistics"] for r in sample]), np.array([r["y"] for r in sample], float), **options)
 
 
 def score_documents(docs: DataFrame, model: Trees, keep: list[str]) -> DataFrame:
     """``keep`` columns and ``score`` of every document."""
+    keep = [k for k in keep if k.lower() != "score"]
     types = [to_arrow_type(docs.schema[k].dataType) for k in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
