@@ -4,8 +4,8 @@ A text's words give its k-mers (three words), each labelled with its occurrence
 hash functions the ``PICKED`` least labelled k-mers are taken and kept in text order; the hash of that tuple is
 one bucket key, so that keys agree where texts share k-mers in the same order. Texts that share a key are
 candidates. They are near duplicates if their edit similarity over words, the longest common subsequence over
-the longer length, is at least ``threshold`` (0.8); it is found by a bit-parallel alignment within the band that
-such a similarity leaves open. Classes are the connected components.
+the longer length, is at least ``threshold`` (0.8); it is found by a bit-parallel alignment that holds only the band
+of offsets which such a similarity leaves open. Classes are the connected components.
 
 Recall: one sketch agrees with about J^PICKED, J the overlap of the labelled k-mer sets, so a pair is missed with
 about (1 - J^PICKED)^SKETCHES. Edits of a fifth of the words leave few long k-mers whole, hence three words and
@@ -24,6 +24,7 @@ whole class lacks one; an empty table gives an empty result; extra columns are i
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -34,12 +35,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.blocks import contiguous_groups
-from plumbline.llm.common import materialize, spread, table, text_or_empty
+from plumbline.llm.common import discard, materialize, spread, table, text_or_empty
 from plumbline.llm.components import connected_components
 
 WORDS, SKETCHES, PICKED = 3, 32, 2
 THRESHOLD = 0.8
 LEADER_BLOCK, BLOCK_WORDS = 4096, 100_000
+#: Texts of up to so many words have the places of every word as one integer (2 MB in all).
+SHORT_WORDS = 4096
 _SEEDS = np.random.default_rng(8).integers(1, 2**63, (SKETCHES, 2), np.int64).astype(np.uint64) | np.uint64(1)
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -126,21 +129,50 @@ def similar(a: list[str], b: list[str], threshold: float = THRESHOLD) -> bool:
     a, b = a[lead : n - tail], b[lead : m - tail]
     if min(len(a), len(b)) < need or sum((Counter(a) & Counter(b)).values()) < need:
         return False
-    band = max(len(a), len(b)) - need
-    places: dict[str, int] = {}
+    return _banded_common(a, b, max(len(a), len(b)) - need) >= need
+
+
+def _banded_common(a: list[str], b: list[str], band: int) -> int:
+    """Length of the longest common subsequence whose partners lie at most ``band`` places apart.
+
+    One integer holds the 2 band + 1 places of ``a`` around the diagonal, a zero bit being a matched place; it moves
+    on by one place a word of ``b``, and places that leave it are counted. Words that make up more than a 256th
+    of a long text have their places as one integer, 256 such words at most; the others have a list, of which the
+    part in the band is used. So memory is proportional to the text.
+    """
+    n, wide = len(a), 2 * band + 1
+    lists: dict[str, list[int]] = {}
     for i, w in enumerate(a):
-        places[w] = places.get(w, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    window = (1 << 2 * band + 1) - 1
-    free = full  # a zero bit is a matched place
+        lists.setdefault(w, []).append(i)
+    least = 0 if n <= SHORT_WORDS else n // 256
+    bits = {w: _bits(at, 0, n) for w, at in lists.items() if len(at) > least}
+    free = full = (1 << wide) - 1
+    top, matched = 1 << wide - 1, 0
     for j, w in enumerate(b):
-        at = places.get(w)
+        low = j - band
+        at = bits.get(w)
         if at is not None:
-            low = j - band
-            hit = free & at & (window << low if low >= 0 else window >> -low)
-            if hit:
-                free = (free + hit | free - hit) & full
-    return len(a) - free.bit_count() >= need
+            hit = free & (at >> low if low >= 0 else at << -low)
+        elif w in lists:
+            at = lists[w]
+            hit = free & _bits(at[bisect_left(at, low) : bisect_right(at, j + band)], low, wide)
+        else:
+            hit = 0
+        if hit:
+            free = (free + hit | free - hit) & full
+        if not free & 1:
+            matched += 1
+        free = free >> 1 | top
+    return matched + wide - free.bit_count()
+
+
+def _bits(places: list[int], low: int, wide: int) -> int:
+    """The integer whose bits ``place - low`` are set."""
+    if len(places) < 8:
+        return sum(1 << p - low for p in places)
+    flags = np.zeros(wide, np.uint8)
+    flags[np.array(places) - low] = 1
+    return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -239,7 +271,9 @@ def _classified(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
     texts = materialize(_texts(docs, wanted), "bucket-texts")
     pairs = stars.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
     links = materialize(_aligned(pairs, threshold), "links")
+    discard(stars)
     roots = connected_components(links)
+    discard(links)
 
     # Buckets of three or more texts that still lie in different classes.
     classed = members.where("count > 2").join(roots, "node", "left").select("key", "node", "n_words", F.coalesce("root", "node").alias("comp"))
@@ -248,12 +282,15 @@ def _classified(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
     mixed = classed.join(largest, "key").select("key", "node", "n_words", "comp", (F.col("comp") != F.col("top.comp")).alias("outside"), (F.col("words") - F.col("top.words")).alias("words_out"), F.col("top.words").alias("words_in"))
     rows = _pairs_of_blocks(mixed, BLOCK_WORDS).join(nodes.select("node", "keys").join(texts, "node"), "node")
     more = materialize(_settle(rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "node"), threshold), "links")
+    discard(members)
+    discard(texts)
     named = nodes.select("node", "least", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     if not more.isEmpty():  # these few links join classes, not texts
         at = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
         between = more.join(at("u"), "u", "left").join(at("v"), "v", "left").select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))
         merged = connected_components(between).select(F.col("node").alias("root"), F.col("root").alias("__root"))
         named = named.join(merged, "root", "left").withColumn("root", F.coalesce("__root", "root")).drop("__root")
+    discard(more)
 
     return sketched, named
 
