@@ -2,14 +2,12 @@
 
 With the usual byte-level pattern a token boundary always lies before a space that a non-space follows: a run
 of white space gives its last character to the token after it. A text is therefore the concatenation of
-chunks that can be encoded by themselves, and equal chunks need to be encoded once. So need the pre-tokens of new
-chunks. The ids of all known strings lie in one array; those of a batch of texts are gathered from it at once.
+chunks that can be encoded by themselves, and equal chunks need to be encoded once. The ids of all known strings lie in one array; those of a batch of texts are gathered from it at once.
 """
 
 from __future__ import annotations
 
 import functools
-import json
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -53,9 +51,6 @@ class Store:
         self.known.update(zip(strings, range(self.n, at.stop)))
         self.n, self.used = at.stop, self.used + len(ids)
 
-    def rows(self, strings: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.known.__getitem__, strings), np.int64, len(strings))
-
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows in order, and the number of ids of each."""
         lengths = self.length[rows]
@@ -63,32 +58,46 @@ class Store:
 
     def only(self, strings: list[str]) -> Store:
         out = Store()
-        out.add(strings, *self.gather(self.rows(strings)))
+        out.add(strings, *self.gather(np.fromiter(map(self.known.__getitem__, strings), np.int64, len(strings))))
         return out
 
 
 class Cache:
-    """Ids of distinct strings. At most ``max_entries`` are kept from call to call (the latest ones beyond that),
-    and none longer than ``longest``."""
+    """Ids of strings. At most ``max_entries`` are kept from call to call (the latest ones beyond that), and none
+    longer than ``longest``."""
 
     def __init__(self, encode: Encode, max_entries: int, longest: int = 64):
         self.encode, self.max_entries, self.longest = encode, max_entries, longest
-        self.store = Store()
+        self.store, self.keep = Store(), (0, 0)
 
-    def use(self, strings: set[str]) -> Store:
-        """A store with all ``strings``."""
-        new = list(strings.difference(self.store.known))
+    def rows(self, strings: list[str]) -> np.ndarray:
+        """The rows of ``strings`` in the store, until :meth:`close`."""
+        found = list(map(self.store.known.get, strings))
+        new = [i for i, row in enumerate(found) if row is None]
         if len(self.store.known) + len(new) > self.max_entries:
-            self.store = self.store.only(list(strings.intersection(self.store.known)))
-        if new:
-            new.sort(key=lambda x: len(x) > self.longest)  # long strings come last
-            self.store.add(new, *self.encode(new))
-        return self.store
-
-    def drop_long(self, strings: set[str]) -> None:
+            self.store = self.store.only(list({x for x, row in zip(strings, found) if row is not None}))
+            found = list(map(self.store.known.get, strings))
         store = self.store
-        for row in sorted((store.known.pop(x) for x in [x for x in strings if len(x) > self.longest]), reverse=True):
-            store.n, store.used = row, int(store.start[row])
+        short = [i for i in new if len(strings[i]) <= self.longest]
+        long = [i for i in new if len(strings[i]) > self.longest]
+        at = np.array(short + long, np.int64)
+        first = store.n
+        if new:
+            texts = [strings[i] for i in at.tolist()]
+            store.add(texts, *self.encode(texts))
+        for i in long:
+            store.known.pop(strings[i], None)
+            found[i] = 0
+        self.keep = (first + len(short), int(store.start[first + len(short)]) if long else store.used)
+        for i in short:
+            found[i] = 0
+        rows = np.array(found, np.int64)
+        rows[at] = first + np.arange(len(at))
+        return rows
+
+    def close(self) -> None:
+        """Lets go of the long strings of the last call."""
+        self.store.n, self.store.used = self.keep
 
 
 class PretokenEncoder:
@@ -102,11 +111,9 @@ class PretokenEncoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts = [self.split(x) for x in texts]
         coded = pa.array([p for x in parts for p in x], pa.string()).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        used = set(distinct)
-        store = self.cache.use(used)
-        ids, lengths = store.gather(store.rows(distinct)[coded.indices.to_numpy()])
-        self.cache.drop_long(used)
+        rows = self.cache.rows(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        ids, lengths = self.cache.store.gather(rows)
+        self.cache.close()
         total = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([len(x) for x in parts])]
         return ids, np.diff(total, prepend=0)
 
@@ -134,32 +141,23 @@ class ChunkEncoder:
         begin = split.offsets.to_numpy().astype(np.int64)
         firsts = [" " + x for x in coded.take(pa.array(begin[:-1])).to_pylist()]
         distinct = coded.dictionary.to_pylist()
-        used = set(distinct).union(firsts, *odd.values())
-        store = self.cache.use(used)
-        rows = store.rows(distinct)[coded.indices.to_numpy()]
-        rows[begin[:-1]] = store.rows(firsts)
+        extra = list(dict.fromkeys([*firsts, *(x for chunks in odd.values() for x in chunks)]))
+        known = self.cache.rows(distinct + extra)
+        at = dict(zip(extra, known[len(distinct) :].tolist()))
+        rows = known[coded.indices.to_numpy()]
+        rows[begin[:-1]] = [at[x] for x in firsts]
         count = np.diff(begin)
         if odd:
             parts = np.split(rows, begin[1:-1])
             for i, chunks in odd.items():
-                parts[i] = store.rows(chunks)
+                parts[i] = np.array([at[x] for x in chunks], np.int64)
             rows, count = np.concatenate(parts), np.array([len(x) for x in parts])
-        ids, lengths = store.gather(rows)
+        ids, lengths = self.cache.store.gather(rows)
+        self.cache.close()
         total = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(count)]
-        self.cache.drop_long(used)
         return ids, np.diff(total, prepend=0)
 
 
-#: The pattern that the library's byte-level pre-tokenizer splits by (a fixed value of it).
-BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-def _is_byte_level(definition: dict) -> bool:
-    """Whether a tokenizer does no more than split by BYTE_LEVEL and merge bytes."""
-    first = definition.get("pre_tokenizer") or {}
-    return (first.get("type"), first.get("add_prefix_space"), first.get("use_regex")) == ("ByteLevel", False, True) and not definition.get("normalizer") and definition["model"]["type"] == "BPE"
-
-
 @functools.lru_cache(maxsize=2)
 def hf_chunks(tokenizer_path: str, special_as_text: bool = False) -> ChunkEncoder:
     """Encoder by the ``tokenizers`` library without added special tokens, kept for the life of the process.
@@ -169,7 +167,6 @@ def hf_chunks(tokenizer_path: str, special_as_text: bool = False) -> ChunkEncode
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
-    from tokenizers.pre_tokenizers import ByteLevel
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
     tokenizer.encode_special_tokens = special_as_text
@@ -178,35 +175,6 @@ def hf_chunks(tokenizer_path: str, special_as_text: bool = False) -> ChunkEncode
     def many(texts: list[str]) -> list[list[int]]:
         return [e.ids for i in range(0, len(texts), 256) for e in tokenizer.encode_batch_fast(texts[i : i + 256], add_special_tokens=False)]
 
-    def singly(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = many(texts)
-        return np.array([x for ids in found for x in ids], np.uint32), np.array([len(x) for x in found], np.int64)
-
-    if _is_byte_level(json.loads(tokenizer.to_str())):
-        plain = Tokenizer.from_file(tokenizer_path)
-        plain.encode_special_tokens = True
-        plain.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
-
-        def pretokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            ids: list[int] = []
-            ends = []
-            for i in range(0, len(texts), 1000):
-                for e in plain.encode_batch_fast(texts[i : i + 1000], add_special_tokens=False):
-                    ids += e.ids
-                    ends.append(len(ids))
-            return np.array(ids, np.uint32), np.diff(np.array(ends, np.int64), prepend=0)
-
-        split = PretokenEncoder(BYTE_LEVEL, pretokens, 300_000)
-
-        def by_pretokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            together = "".join(texts)
-            if not any(a in together for a in added):
-                return split.encode(texts)
-            parts = [singly([x]) if any(a in x for a in added) else split.encode([x]) for x in texts]
-            return np.concatenate([ids for ids, _ in parts]), np.concatenate([n for _, n in parts])
-
-        return ChunkEncoder(by_pretokens, added)
-
     mark = "\x0b"
     (mark_id,) = tokenizer.encode(mark, add_special_tokens=False).ids
 
@@ -215,7 +183,8 @@ def hf_chunks(tokenizer_path: str, special_as_text: bool = False) -> ChunkEncode
         white space before a space and a non-space is. Chunks that could blend with it go one by one."""
         joint, single = [], []
         for i, x in enumerate(texts):
-            (joint if x[:1] == " " and x[1:2].strip() and not x[-1].isspace() and mark not in x else single).append(i)
+            inside = x[:1] == " " and (x[1:].isalpha() or x[1:2].strip() and not x[-1].isspace() and mark not in x)
+            (joint if inside else single).append(i)
         groups = [joint[i : i + 400] for i in range(0, len(joint), 400)]
         places, found = [], []
         for group, ids in zip(groups, many([mark.join([texts[i] for i in group]) for group in groups])):

@@ -142,13 +142,6 @@ def test_chunks_encode_like_the_tokenizer(texts):
     assert texts_of(chunked_text.hf_chunks(JSON), texts) == plain_ids(texts)
 
 
-def test_any_tokenizer_of_the_library_encodes_by_chunks(monkeypatch):
-    rng = random.Random(17)
-    texts = ["", *("".join(rng.choice(list(" \n\t\x0b") + ["a", "bc", "'s", "12", ",", "é漢", "<|endoftext|>", " the", " of"]) for _ in range(rng.randrange(30))) for _ in range(1500))]
-    monkeypatch.setattr(chunked_text, "_is_byte_level", lambda definition: False)
-    assert texts_of(chunked_text.hf_chunks.__wrapped__(JSON), texts) == plain_ids(texts)
-
-
 def test_special_strings_can_be_text():
     tokenizer = Tokenizer.from_file(JSON)
     text = "a <|endoftext|> b"
@@ -161,7 +154,7 @@ def test_small_caches_change_nothing(spark):
     texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
     shared = chunked_text.hf_chunks(JSON)
     alone = lambda strings: (np.array([x for ids in plain_ids(strings) for x in ids], np.uint32), np.array([len(x) for x in plain_ids(strings)]))
-    small = chunked_text.ChunkEncoder(chunked_text.PretokenEncoder(chunked_text.BYTE_LEVEL, alone, 50).encode, shared.whole, max_entries=300, longest=4)
+    small = chunked_text.ChunkEncoder(chunked_text.PretokenEncoder(public_tokenizers.PATTERN, alone, 50).encode, shared.whole, max_entries=300, longest=4)
     want = plain_ids(texts)
     for part in (1, 7, 50):
         got = [x for i in range(0, len(texts), part) for x in texts_of(small, texts[i : i + part])]
