@@ -9,6 +9,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Degree and homogeneity of the map of each kernel.
+KERNEL_MAPS = {"linear": (1, True), "poly": (2, False), "homo_poly": (2, True)}
+
+
+def kernel_columns(x: list[Column], kernel: str) -> list[Column]:
+    """The map of a kernel by its name."""
+    if kernel not in KERNEL_MAPS:
+        raise ValueError(f"unknown kernel {kernel!r}; known: {sorted(KERNEL_MAPS)}")
+    degree, homogeneous = KERNEL_MAPS[kernel]
+    return kernel_map(x, degree, None if homogeneous else 1.0)
+
+
 def monomials(d: int, degree: int, homogeneous: bool) -> list[tuple[int, ...]]:
     """Exponent vectors of total degree up to ``degree`` (exactly ``degree`` if homogeneous), by degree."""
     totals = [degree] if homogeneous else range(degree + 1)
@@ -40,6 +52,11 @@ def width(d: int, degree: int, homogeneous: bool = False) -> int:
     return math.comb(d + degree - homogeneous, degree)
 
 
+def max_width(d: int, kernels: list[str]) -> int:
+    """The widest mapped row over the kernels named."""
+    return max((width(d, *KERNEL_MAPS[k]) for k in kernels), default=d)
+
+
 def l2_normalised(x: list[Column]) -> list[Column]:
     """Divided by the row's norm; a norm below 1e-12 counts as 1."""
     norm = F.sqrt(sum((v * v for v in x[1:]), x[0] * x[0]))

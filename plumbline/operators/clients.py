@@ -92,6 +92,26 @@ def backfilled(assigned: DataFrame, key: str, k: int) -> DataFrame:
     return r.join(table, ["client_id", "rank"], "left").withColumn("client_id", F.coalesce("__to", "client_id")).select(assigned.columns)
 
 
+def partition_all(df: DataFrame, label: str, key: str, k: int, partition: str = "iid", alpha: float | None = None, seed: int = 42) -> DataFrame:
+    """``client_id`` by partition name: 'iid' chunks of each label, or 'dirichlet' shares of each label (0, 1, ..)
+    under the cap. No client stays empty."""
+    if partition == "iid":
+        return backfilled(iid(df, [label], key, k), key, k)
+    if partition != "dirichlet":
+        raise ValueError(f"unknown partition {partition!r}; known: ['dirichlet', 'iid']")
+    if alpha is None or alpha <= 0:
+        raise ValueError("a dirichlet partition needs a positive alpha")
+    groups = int(df.agg(F.max(label)).first()[0]) + 1
+    return backfilled(capped(by_shares(df, label, key, dirichlet_shares(k, alpha, groups, seed)), key, k), key, k)
+
+
+def test_chunks(df: DataFrame, key: str, slots: int) -> DataFrame:
+    """``chunk`` and ``slot`` of each row: consecutive rows in key order fill chunks of ``slots``."""
+    r = ranked(df.withColumn("__all", F.lit(0)), ["__all"], key)
+    at = F.col("rank") - 1
+    return r.withColumn("chunk", F.floor(at / slots)).withColumn("slot", F.pmod(at, F.lit(slots))).drop("__all", "rank", "group_n")
+
+
 def without_positive(df: DataFrame, by: str = "client_id") -> DataFrame:
     return df.groupBy(by).agg(F.max("y").alias("__m")).where("__m < 0").select(by)
 

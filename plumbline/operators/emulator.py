@@ -73,6 +73,32 @@ def ring_dimension(depth: Column) -> Column:
     return F.greatest(F.lit(1024), F.pow(F.lit(2.0), F.ceil(F.log2(2.0 * (60 + 50 * depth)))).cast("long"))
 
 
+def context_depth(estimate: Column, security: Column) -> Column:
+    """Levels of a context: six beyond the estimate, or the fixed usable budget of the "128" level."""
+    return F.when(security == "128", F.lit(25).cast("long")).otherwise(estimate + 6)
+
+
+def slot_count(depth: Column, security: Column) -> Column:
+    """Half the ring, or 32 slots at the "128" level."""
+    return F.when(security == "128", F.lit(32).cast("long")).otherwise(F.floor(ring_dimension(depth) / 2))
+
+
+def modulus_bits(depth: Column) -> Column:
+    return 60 + 50 * depth
+
+
+def refreshed(level: Column, least: int, fresh: int) -> Column:
+    """Levels used after a refresh of the values at ``least`` or beyond; the others stay."""
+    return F.when(level >= least, F.lit(fresh)).otherwise(level)
+
+
+def depth_report(level: Column, budget: Column) -> dict[str, Column]:
+    """Consumed and remaining levels, the share in percent, and it as a bar of twenty places."""
+    share = F.least(F.greatest(level / budget, F.lit(0.0)), F.lit(1.0))
+    full = F.floor(20 * share).cast("int")
+    return {"consumed": level, "remaining": budget - level, "percent": F.round(100.0 * level / budget, 1), "bar": F.concat(F.repeat(F.lit("#"), full), F.repeat(F.lit("."), 20 - full))}
+
+
 def rotation_keys(matrix_size: int, n_test: int, feature_dim: int) -> Column:
     """Sorted distinct rotations a solve and its scoring need."""
     powers = lambda n: [2**i for i in range(max(n, 1).bit_length()) if 2**i < n]
@@ -83,7 +109,10 @@ def rotation_keys(matrix_size: int, n_test: int, feature_dim: int) -> Column:
 
 def primal_bounds(n: Column, gamma: Column, margin: float = 1.1) -> dict[str, Column]:
     """Data-independent domains of the augmented primal solve for features of unit variance or norm: squared
-    column norms, their reflections, and the negative diagonal (low and high of each)."""
+    column norms, their reflections, and the negative diagonal (low and high of each). A gamma that is not positive
+    or fewer than one row raise."""
+    bad = F.raise_error(F.lit("gamma must be positive and n at least 1")).cast("double")
+    gamma = F.when((gamma > 0) & (n >= 1), gamma).otherwise(bad)
     least = 1 / (2 * gamma + 2 * F.sqrt(gamma / n) + 1 / n)
     low, high = least / margin, (n + 1 / gamma) * margin
     return {"sqrt_low": low, "sqrt_high": high, "vtv_high": 4 * high, "diag_low": -F.sqrt(high), "diag_high": -F.sqrt(low)}

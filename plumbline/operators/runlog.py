@@ -18,9 +18,12 @@ METRIC_ROW = r"^\s{2,}(\S.*?)\s*\|\s*([\d.]+)%\s*\|\s*([\d.]+)%\s*\|\s*([\d.]+)%
 WEIGHT_ERROR = r"FHE fed weights vs plaintext fed weights: ([\d.eE+-]+)"
 
 
+MULTICLASS = r"Multiclass Accuracy \((.+?)\):\s+([\d.]+)%"
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line_no, line of every log; the whole file is read at once because lines need their order."""
-    files = spark.read.option("wholetext", True).text(path).withColumn("file", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
+    files = spark.read.text(path, wholetext=True).withColumn("file", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
     return files.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
 
 
@@ -78,8 +81,44 @@ def report_order(df: DataFrame) -> DataFrame:
     return df.orderBy("class_idx", F.col("client") == "baseline", padded)
 
 
+def multiclass_accuracies(lines: DataFrame) -> DataFrame:
+    """approach, accuracy_pct of the multiclass lines; the last line of an approach counts."""
+    rows = lines.where(F.col("line").rlike(MULTICLASS)).select("line_no", group(MULTICLASS, 1).alias("approach"), group(MULTICLASS, 2).cast("double").alias("accuracy_pct"))
+    return rows.groupBy("approach").agg(F.max_by("accuracy_pct", "line_no").alias("accuracy_pct"))
+
+
+def weight_errors(lines: DataFrame) -> DataFrame:
+    """class_idx, rel_err of the weight comparison lines in a finalize log."""
+    rows = finalize_rows(lines).where(F.col("line").rlike(WEIGHT_ERROR))
+    return rows.groupBy("class_idx").agg(F.max_by(group(WEIGHT_ERROR, 1).cast("double"), F.col("line_no")).alias("rel_err"))
+
+
+def solve_totals(times: DataFrame) -> DataFrame:
+    """class_idx, least, mean and greatest seconds of the clients that have a time, and the sum of all with the
+    baseline's (null where it is 0)."""
+    client = F.when(F.col("client") != "baseline", F.col("seconds"))
+    return times.groupBy("class_idx").agg(F.min(client).alias("min_s"), F.avg(client).alias("avg_s"), F.max(client).alias("max_s"), F.nullif(F.coalesce(F.sum("seconds"), F.lit(0.0)), F.lit(0.0)).alias("total_s"))
+
+
+def report_section(times: DataFrame, stamp: str) -> str:
+    """A Markdown section of the times in report order; a run has some classes times clients rows."""
+    rows = [f"| {r['class_idx']} | {r['client']} | {r['time']} |" for r in report_order(times).select("class_idx", "client", minutes(F.col("seconds")).alias("time")).collect()]
+    return "\n".join([f"## Run {stamp}", "", "| Class | Client | Minutes |", "|-|-|-|", *rows, ""])
+
+
+def append_report(times: DataFrame, path: str, stamp: str, title: str = "# Runs") -> None:
+    """Adds a section to the report at ``path`` (any file system of Spark); the title only opens a new file."""
+    spark = times.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    before = "".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()) if fs.exists(target) else f"{title}\n\n"
+    out = fs.create(target, True)
+    out.write(bytearray((before + report_section(times, stamp) + "\n").encode()))
+    out.close()
+
+
 def minutes(seconds: Column) -> Column:
-    return F.coalesce(F.format_string("%.1f", seconds / 60), F.lit("n/a"))
+    return F.when(seconds.isNull(), "n/a").otherwise(F.format_string("%.1f", seconds / 60))
 
 
 def communication(manifest: DataFrame) -> DataFrame:

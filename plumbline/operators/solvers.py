@@ -120,6 +120,30 @@ def best_gamma(moment_row: dict, d: int, yy: float, bounds: tuple[float, float]
     return float(np.exp(t)), f(t)
 
 
+def gcv_curve(moment_row: dict, d: int, yy: float, gammas: list[float]) -> list[float]:
+    """GCV at each gamma, from the moments alone."""
+    g = np.array([[moment_row[f"g{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
+    e, u = np.linalg.eigh(g)
+    keep = e > 1e-10 * e.max()
+    e, u = e[keep], u[:, keep]
+    projected = (u.T @ np.array([moment_row[f"p{i}"] for i in range(d)])) ** 2 / e
+    return [gcv(t, e, projected, yy, moment_row["n"]) for t in gammas]
+
+
+def qr_residuals(a: np.ndarray, q: np.ndarray, r: np.ndarray) -> dict[str, float]:
+    """|A - QR| / |A|, |Q'Q - I| and the largest entry of R below its diagonal."""
+    return {"reconstruction": float(np.linalg.norm(a - q @ r) / max(np.linalg.norm(a), 1e-300)), "orthogonality": float(np.linalg.norm(q.T @ q - np.eye(q.shape[1]))), "below": float(np.abs(np.tril(r, -1)).max(initial=0.0))}
+
+
+def diagonal_bounds(r: np.ndarray, margin: float = 0.1, least: float = 1e-15) -> tuple[float, float]:
+    """Low and high of the pivots, a margin wider, on their side of zero."""
+    d = np.diag(r)
+    low, high = float(d.min()), float(d.max())
+    low = low * (1 + margin) if low < 0 else max(low * (1 - margin), least)
+    high = min(high * (1 - margin), -least) if high < 0 else high * (1 + margin)
+    return low, high
+
+
 def pair_products(df: DataFrame, key: str, x: list[str]) -> DataFrame:
     """Dot products of all pairs of a table that is small by contract (a kernel matrix has that many cells)."""
     a = df.select(F.col(key).alias("i"), *[F.col(c).alias(f"a_{c}") for c in x])

@@ -47,9 +47,22 @@ def one_vs_rest_moments(df: DataFrame, keys: list[str], phi: list[str], label: s
     )
 
 
+def _solutions(a: np.ndarray, rhs: np.ndarray) -> np.ndarray:
+    """Solves each system; those that are singular or whose condition exceeds 1e12 by least squares. Systems with
+    numbers that are not finite have no solution (not a number)."""
+    x = np.full_like(rhs, np.nan)
+    finite = np.flatnonzero(np.isfinite(a).all(axis=(1, 2)) & np.isfinite(rhs).all(axis=1))
+    good = np.linalg.cond(a[finite]) <= 1e12
+    x[finite[good]] = np.linalg.solve(a[finite[good]], rhs[finite[good]][:, :, None])[:, :, 0]
+    for i in finite[~good]:
+        x[i] = np.linalg.lstsq(a[i], rhs[i], rcond=None)[0]
+    return x
+
+
 def solved(m: DataFrame, keys: list[str], d: int, gamma: float) -> DataFrame:
     """``keys``, n, b, w0.. of each row of moments. All rows of a batch are solved at once; there is one row a
-    class and client, whatever the number of training rows. A gamma that is not positive raises."""
+    class and client, whatever the number of training rows. An ill-conditioned row is solved by least squares
+    and fails no other. A gamma that is not positive raises."""
     if gamma <= 0:
         raise ValueError("gamma must be positive")
 
@@ -63,7 +76,7 @@ def solved(m: DataFrame, keys: list[str], d: int, gamma: float) -> DataFrame:
                     a[:, i + 1, j + 1] = a[:, j + 1, i + 1] = rows[f"g{i}_{j}"]
                 a[:, i + 1, i + 1] += 1 / gamma
             rhs = np.stack([rows["sy"], *(rows[f"s{i}"] for i in range(d))], axis=1)
-            x = np.linalg.solve(a, rhs[:, :, None])[:, :, 0]
+            x = _solutions(a, rhs)
             yield pd.DataFrame({**{k: rows[k] for k in [*keys, "n"]}, "b": x[:, 0], **{f"w{i}": x[:, i + 1] for i in range(d)}})
 
     columns = [*(f"{k} {m.schema[k].dataType.simpleString()}" for k in keys), "n long", "b double", *(f"w{i} double" for i in range(d))]
@@ -105,10 +118,22 @@ def predicted_sign(score: Column) -> Column:
 
 
 def recovered_alpha(y: Column, b: Column, score: Column, gamma: float) -> Column:
-    """Dual coefficient of a training row from the primal model: y * gamma * (1 - y (b + w.phi) + ...)."""
+    """Dual coefficient gamma y (1 - b y - w.phi) of a training row; ``score`` is b + w.phi."""
     return y * gamma * (1 - b * y - (score - b))
 
 
+def primal_weights(df: DataFrame, keys: list[str], phi: list[str], alpha: str = "alpha", y: str = "y") -> DataFrame:
+    """w = sum of alpha y x over the rows of each key."""
+    return df.groupBy(*keys).agg(*[F.sum(F.col(alpha) * F.col(y) * F.col(c)).alias(f"w{i}") for i, c in enumerate(phi)])
+
+
+def confusion_of_all(df: DataFrame, keys: list[str], pred: str = "pred", y: str = "y") -> DataFrame:
+    """As :func:`confusion`, but whatever is not +1 counts as negative: a prediction that is not a number is a
+    missed positive."""
+    p, t = F.col(pred) == 1, F.col(y) == 1
+    return df.groupBy(*keys).agg(F.count_if(p & t).alias("tp"), F.count_if(p & ~t).alias("fp"), F.count_if(~p & t).alias("fn"), F.count_if(~p & ~t).alias("tn"))
+
+
 def confusion(df: DataFrame, keys: list[str], pred: str = "pred", y: str = "y") -> DataFrame:
     p, t = F.col(pred), F.col(y)
     return df.groupBy(*keys).agg(F.count_if((p == 1) & (t == 1)).alias("tp"), F.count_if((p == 1) & (t == -1)).alias("fp"), F.count_if((p == -1) & (t == 1)).alias("fn"), F.count_if((p == -1) & (t == -1)).alias("tn"))

@@ -42,6 +42,18 @@ def scaled_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standardised(lineitem(spark, sf_dir), FEATURES["lineitem"])
 
 
+#: Kernel of each class of lineitem; classes that are not listed are linear.
+KERNELS = {1: "poly", 2: "poly"}
+#: Regularisation of each kernel where none is tuned.
+GAMMAS = {"linear": 1.1, "poly": 3.9, "homo_poly": 3.9}
+
+
+def kernel_of(class_idx: Column) -> Column:
+    """The kernel of a class; linear where none is listed."""
+    listed = F.create_map(*[F.lit(x) for pair in KERNELS.items() for x in pair])
+    return F.coalesce(F.try_element_at(listed, class_idx), F.lit("linear"))
+
+
 def parsed_sample(text: Column) -> Column:
     """'5.1,3.5' as an array of doubles; a bad number raises."""
     return F.transform(F.split(text, ","), lambda s: F.trim(s).cast("double"))

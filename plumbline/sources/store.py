@@ -45,6 +45,27 @@ def load_global_model(spark: SparkSession, root: str, solver: str | None = None)
     return spark.read.parquet(f"{root}/global")
 
 
+def save_model_state(state: DataFrame, root: str) -> None:
+    """class_idx, phi_mean (array) and threshold of each class, beside the model."""
+    state.select("class_idx", "phi_mean", "threshold").coalesce(1).write.mode("overwrite").parquet(f"{root}/state")
+
+
+def load_model_with_state(spark: SparkSession, root: str, solver: str | None = None) -> DataFrame:
+    """The stored model with phi_mean (null: not centred) and threshold (0 where none is stored)."""
+    model = load_global_model(spark, root, solver)
+    return model.join(spark.read.parquet(f"{root}/state"), "class_idx", "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.0)))
+
+
+def predict_stored(rows: DataFrame, model: DataFrame, phi: list[str]) -> DataFrame:
+    """``rows`` once a class with ``score`` and ``pred``: features less phi_mean, sign of the score less the
+    threshold. ``model`` has one row a class."""
+    score = F.col("b")
+    for i, c in enumerate(phi):
+        score = score + F.col(f"w{i}") * (F.col(c) - F.coalesce(F.get("phi_mean", F.lit(i)), F.lit(0.0)))
+    scored = rows.crossJoin(F.broadcast(model.select("class_idx", "b", *[f"w{i}" for i in range(len(phi))], "phi_mean", "threshold"))).withColumn("score", score)
+    return scored.withColumn("pred", F.when(F.col("score") >= F.col("threshold"), 1.0).otherwise(-1.0)).select(*rows.columns, "class_idx", "score", "pred")
+
+
 def append_metrics(rows: DataFrame, root: str) -> None:
     """Adds to the metric history; earlier runs stay."""
     rows.write.mode("append").parquet(f"{root}/metrics")

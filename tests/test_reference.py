@@ -9,8 +9,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import features as ff
-from plumbline.operators import clients, emulator, prep, runlog, solvers, training
-from plumbline.plans import catalog, federated
+from plumbline.operators import clients, emulator, guards, prep, runlog, solvers, training
+from plumbline.plans import catalog, federated, run_catalog, training_path
 from plumbline.sources import readers
 
 SF = "/root/testdata/sf0.001"
@@ -156,6 +156,7 @@ def test_logs_and_markers(spark, tmp_path):
     final = ["--- Class 0 (setosa vs rest) [kernel=linear] ---", "  [client 0] FHE solve: 397.6s", "  [client 1] Resuming from checkpoint x", "  --- Class 0 (setosa vs rest) comparison (k=40) ---", "  Approach   | Accuracy  | Precision | F1", "  Federated (40 clients avg.)  | 100.00% |  99.50% | 98.00%"]
     (tmp_path / "finalize.log").write_text("\n".join(final))
     lines = runlog.numbered_lines(spark, f"file://{tmp_path}/*.log").cache()
+    assert {r["line_no"] for r in lines.where("file = 'finalize.log'").collect()} == set(range(len(final)))
     worker, done = lines.where("file like 'worker%'"), lines.where("file = 'finalize.log'")
     total = runlog.worker_totals(worker).first()
     assert (total["context_s"], total["peak_rss_mib"], total["solved"], total["resumed"]) == (152.3, 812.5, 2, 1)
@@ -225,3 +226,80 @@ def test_stream_gives_the_batch_models(spark, tmp_path):
     for r in last.collect():
         w = want[r["client_id"]]
         assert np.allclose([r["b"], r["w0"], r["w1"]], [w["b"], w["w0"], w["w1"]])
+
+
+def test_partition_dispatch(spark):
+    df = spark.createDataFrame([(i, i % 3) for i in range(60)], "id long, label int")
+    for args in (("iid",), ("dirichlet", 0.3)):
+        sizes = clients.partition_all(df, "label", "id", 8, *args).groupBy("client_id").count().collect()
+        assert len(sizes) == 8 and sum(r["count"] for r in sizes) == 60
+    for args in (("dirichlet",), ("other", 1.0)):
+        with pytest.raises(ValueError):
+            clients.partition_all(df, "label", "id", 8, *args)
+
+
+def test_guards(spark, tmp_path):
+    guards.check_slots(spark, "notset", 10**6, 10**6, 10**6)
+    with pytest.raises(ValueError, match="at least 42 clients"):
+        guards.check_slots(spark, "128", 40, 15, 1300)
+    with pytest.raises(ValueError, match="features"):
+        guards.check_slots(spark, "128", 20, 45, 600)
+    guards.refuse_stale(spark, f"file://{tmp_path}/none")
+    (tmp_path / "k=4").mkdir()
+    guards.refuse_stale(spark, f"file://{tmp_path}")
+    (tmp_path / "k=4" / "bias.bin").write_text("x")
+    with pytest.raises(ValueError, match="bias.bin"):
+        guards.refuse_stale(spark, f"file://{tmp_path}")
+
+
+def test_ill_conditioned_clients_fail_no_other(spark):
+    rng = np.random.default_rng(4)
+    df = frame_of(spark, np.r_[rng.standard_normal((10, 2)), np.full((6, 2), 1e9)], np.r_[np.sign(rng.standard_normal(10)), np.ones(6)], np.repeat([0, 1], [10, 6]))
+    got = {r["client_id"]: r for r in training.solved(training.moments(df, ["client_id"], ["x0", "x1"]), ["client_id"], 2, 1.1).collect()}
+    assert all(math.isfinite(got[c][v]) for c in (0, 1) for v in ("b", "w0", "w1"))
+    nan = training.moments(df.withColumn("x0", F.when(F.col("client_id") == 1, float("nan")).otherwise(F.col("x0"))), ["client_id"], ["x0", "x1"])
+    again = {r["client_id"]: r for r in training.solved(nan, ["client_id"], 2, 1.1).collect()}
+    assert math.isnan(again[1]["w0"]) and abs(again[0]["w0"] - got[0]["w0"]) < 1e-9
+
+
+def test_runs_resume_and_models_keep_their_state(spark, tmp_path):
+    from plumbline.sources import store
+
+    root = f"file://{tmp_path}/run"
+    first = training_path.run_open_tasks(spark, SF, root, "poly", [1]).collect()
+    stamp = sorted(p.name for p in tmp_path.rglob("*.parquet"))
+    assert len(first) == 10 and training_path.run_open_tasks(spark, SF, root, "poly", [1]).count() == 10
+    assert sorted(p.name for p in tmp_path.rglob("*.parquet")) == stamp  # nothing was solved again
+    assert training_path.run_open_tasks(spark, SF, root, "poly", [1, 2]).count() == 20
+    model = spark.createDataFrame([(0, 0.5, 2.0), (1, 0.0, 1.0)], "class_idx int, b double, w0 double")
+    store.save_global_model(model, f"{root}/g", "primal:linear", "moments")
+    store.save_model_state(spark.createDataFrame([(0, [1.0], None)], "class_idx int, phi_mean array<double>, threshold double"), f"{root}/g")
+    loaded = store.load_model_with_state(spark, f"{root}/g")
+    rows = spark.createDataFrame([(3.0,), (-1.0,)], "x double")
+    got = {(r["x"], r["class_idx"]): (r["score"], r["pred"]) for r in store.predict_stored(rows, loaded, ["x"]).collect()}
+    assert got == {(3.0, 0): (4.5, 1.0), (-1.0, 0): (-3.5, -1.0), (3.0, 1): (3.0, 1.0), (-1.0, 1): (-1.0, -1.0)}
+
+
+def test_report_grows_under_one_title(spark, tmp_path):
+    times = spark.createDataFrame(run_catalog.TIMES, "class_idx int, client string, seconds double")
+    for stamp in ("2026-01-01", "2026-01-02"):
+        runlog.append_report(times, f"file://{tmp_path}/report.md", stamp)
+    text = (tmp_path / "report.md").read_text()
+    assert text.count("# Runs") == 1 and text.count("## Run 2026") == 2 and "| 0 | 1 | 0.5 |" in text and "| 0 | 2 | n/a |" in text
+
+
+def test_qr_residuals_and_bounds():
+    a = np.random.default_rng(6).standard_normal((6, 4))
+    q, r = solvers.householder_qr(a)
+    assert all(v < 1e-12 for v in solvers.qr_residuals(a, q, r).values())
+    low, high = solvers.diagonal_bounds(np.diag([-2.0, -1.0]))
+    assert np.allclose([low, high], [-2.2, -0.9])
+    assert np.allclose(solvers.diagonal_bounds(np.diag([0.0, 3.0])), (1e-15, 3.3))
+    with pytest.raises(ValueError):
+        ff.kernel_columns([F.lit(1.0)], "cubic")
+
+
+def test_bounds_need_positive_gamma(spark):
+    rows = spark.createDataFrame([(5, 0.0)], "n int, gamma double")
+    with pytest.raises(Exception, match="gamma must be positive"):
+        rows.select(*[c.alias(k) for k, c in emulator.primal_bounds(F.col("n"), F.col("gamma")).items()]).collect()
