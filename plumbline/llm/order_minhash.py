@@ -1,6 +1,6 @@
 """Near-duplicate texts by Order MinHash with banded alignment.
 
-A text's words give its k-mers (three words), each labelled with its occurrence number. For each of ``SKETCHES``
+A text's words give its k-mers (five words), each labelled with its occurrence number. For each of ``SKETCHES``
 hash functions the ``PICKED`` least labelled k-mers are taken and kept in text order; the hash of that tuple is
 one bucket key, so that keys agree where texts share k-mers in the same order. Texts that share a key are
 candidates. They are near duplicates if their edit similarity over words, the longest common subsequence over
@@ -8,8 +8,9 @@ the longer length, is at least ``threshold`` (0.8); it is found by a bit-paralle
 of offsets which such a similarity leaves open. Classes are the connected components.
 
 Recall: one sketch agrees with about J^PICKED, J the overlap of the labelled k-mer sets, so a pair is missed with
-about (1 - J^PICKED)^SKETCHES. Edits of a fifth of the words leave few long k-mers whole, hence three words and
-two of them a sketch; the README has measured figures. Pairs that share no key are not compared.
+about (1 - J^PICKED)^SKETCHES. Scattered edits of a fifth of the words leave few k-mers of five words whole, hence
+two of them a sketch and many sketches; the README has measured figures. Pairs that share no key are not compared,
+so texts of a few words, of which one edit breaks every k-mer, meet their exact copies only.
 
 Scale: exact copies become one node first (by a 128-bit digest). In every bucket the members are first aligned
 with one leader of their block only, so a group of m near copies costs m alignments. Buckets whose members then lie
@@ -17,7 +18,7 @@ in different classes are settled exactly: members outside the bucket's largest c
 pairs of a bounded size, in the first bucket they share, skipping pairs that are linked already.
 
 Defined cases: a null text is empty; texts without words are their own class only with their exact copies; texts
-of fewer than three words have one k-mer; repeated rows are copies; a null doc_id never names a class unless the
+of fewer than five words have one k-mer; repeated rows are copies; a null doc_id never names a class unless the
 whole class lacks one; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -38,7 +39,7 @@ from plumbline.llm.blocks import contiguous_groups
 from plumbline.llm.common import discard, materialize, spread, table, text_or_empty
 from plumbline.llm.components import connected_components
 
-WORDS, SKETCHES, PICKED = 3, 32, 2
+WORDS, SKETCHES, PICKED = 5, 80, 2
 THRESHOLD = 0.8
 LEADER_BLOCK, BLOCK_WORDS = 4096, 100_000
 #: Texts of up to so many words have the places of every word as one integer (2 MB in all).
