@@ -41,7 +41,7 @@ from plumbline.llm.components import connected_components
 
 WORDS, SKETCHES, PICKED = 5, 80, 2
 THRESHOLD = 0.8
-LEADER_BLOCK, BLOCK_WORDS = 4096, 100_000
+LEADER_BLOCK, BLOCK_WORDS = 4096, 1_000_000
 #: Texts of up to so many words have the places of every word as one integer (2 MB in all).
 SHORT_WORDS = 4096
 _SEEDS = np.random.default_rng(8).integers(1, 2**63, (SKETCHES, 2), np.int64).astype(np.uint64) | np.uint64(1)
@@ -211,7 +211,8 @@ def _settle(rows: DataFrame, threshold: float) -> DataFrame:
             node, comp = group.column(5).to_pylist(), group.column(6).to_pylist()
             size = group.column(7).to_numpy()
             keys = group.column(8).flatten().to_numpy().reshape(len(node), -1)
-            text = [t.split() for t in group.column(9).to_pylist()]
+            one: dict[str, str] = {}  # equal words are one object: a block holds far fewer distinct ones
+            text = [[one.setdefault(w, w) for w in t.split()] for t in group.column(9).to_pylist()]
             parent: dict = {}
 
             def find(x):
