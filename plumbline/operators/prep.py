@@ -26,9 +26,11 @@ def stratified_split(df: DataFrame, label: str, key: str, every: int = 5) -> Dat
     return ranked(df, [label], key).withColumn("is_test", F.col("rank") % every == 0).drop("rank", "group_n")
 
 
-def standardised(df: DataFrame, columns: list[str], fit_on: Column | None = None) -> DataFrame:
-    """Population z-scores with statistics of the rows ``fit_on``; a zero deviation counts as 1."""
-    rows = df if fit_on is None else df.where(fit_on)
+def standardised(df: DataFrame, columns: list[str], fit_on: Column | None = None, of: DataFrame | None = None) -> DataFrame:
+    """Population z-scores with statistics of the rows ``fit_on`` of ``of`` (``df`` itself unless given); a zero
+    deviation counts as 1."""
+    rows = df if of is None else of
+    rows = rows if fit_on is None else rows.where(fit_on)
     stats = rows.agg(*[F.avg(c).alias(f"__m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"__s_{c}") for c in columns])
     safe = {c: F.when(F.col(f"__s_{c}") == 0, 1.0).otherwise(F.col(f"__s_{c}")) for c in columns}
     joined = df.crossJoin(F.broadcast(stats))  # one row of statistics

@@ -146,6 +146,22 @@ def test_first_class_wins_ties(spark):
     assert training.with_class_scores(spark.createDataFrame([(3.0,)], "x double"), model, ["x"]).first()["pred_class"] == 0
 
 
+def test_scores_tie_to_nine_digits(spark):
+    model = spark.createDataFrame([(0, 1.0, 0.0), (1, 1.0 + 4e-10, 0.0), (2, 1.0 + 4e-10, 1.0)], "class_idx int, b double, w0 double")
+    rows = spark.createDataFrame([(0.0,), (1e-8,), (-1.0,), (None,), (float("nan"),)], "x double")
+    assert [r["pred_class"] for r in training.with_class_scores(rows, model, ["x"]).collect()] == [0, 2, 0, 0, 0]
+
+
+@pytest.mark.parametrize("name", ["q_ovr_argmax", "q_accuracy_ovr"])
+def test_equal_rows_and_rows_without_features_match_sql(spark, tmp_path, name):
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT * FROM '{SF}/lineitem.parquet' UNION ALL SELECT * FROM '{SF}/lineitem.parquet' WHERE l_suppkey % 3 = 0 UNION ALL SELECT * REPLACE (NULL::DOUBLE AS l_tax, 9000000 + l_orderkey AS l_orderkey) FROM '{SF}/lineitem.parquet' WHERE l_quantity = 7) TO '{tmp_path}/lineitem.parquet'")
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    want = con.sql(catalog.ORACLES[name])
+    got = catalog.QUERIES[name](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
 def test_text_statistics_find_low_quality(spark):
     row = federated.text_quality(spark, "/root/testdata/sf0.01").first()
     assert row["accuracy"] > 0.9
