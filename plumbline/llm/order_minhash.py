@@ -15,7 +15,8 @@ so texts of a few words, of which one edit breaks every k-mer, meet their exact
 Scale: exact copies become one node first (by a 128-bit digest). In every bucket the members are first aligned
 with one leader of their block only, so a group of m near copies costs m alignments. Buckets whose members then lie
 in different classes are settled exactly: members outside the bucket's largest class meet all others in block
-pairs of a bounded size, in the first bucket they share, skipping pairs that are linked already.
+pairs of a bounded size, in the first bucket they share, skipping pairs that are linked already and those whose
+bags of words have too little in common (counted for a text and all others at once).
 
 Defined cases: a null text is empty; texts without words are their own class only with their exact copies; texts
 of fewer than five words have one k-mer; repeated rows are copies; a null doc_id never names a class unless the
@@ -27,7 +28,8 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -106,7 +108,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     return spread(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {id_type}, node binary, n_words int, keys array<long>")
 
 
-def similar(a: list[str], b: list[str], threshold: float = THRESHOLD) -> bool:
+def similar(a: list, b: list, threshold: float = THRESHOLD) -> bool:
     """Whether the longest common subsequence of words is at least ``threshold`` of the longer text.
 
     Words that both ends share are matched at once; a bag of words bounds the rest from above; what remains is
@@ -133,7 +135,7 @@ def similar(a: list[str], b: list[str], threshold: float = THRESHOLD) -> bool:
     return _banded_common(a, b, max(len(a), len(b)) - need) >= need
 
 
-def _banded_common(a: list[str], b: list[str], band: int) -> int:
+def _banded_common(a: list, b: list, band: int) -> int:
     """Length of the longest common subsequence whose partners lie at most ``band`` places apart.
 
     One integer holds the 2 band + 1 places of ``a`` around the diagonal, a zero bit being a matched place; it moves
@@ -142,7 +144,7 @@ def _banded_common(a: list[str], b: list[str], band: int) -> int:
     part in the band is used. So memory is proportional to the text.
     """
     n, wide = len(a), 2 * band + 1
-    lists: dict[str, list[int]] = {}
+    lists: dict[Hashable, list[int]] = {}
     for i, w in enumerate(a):
         lists.setdefault(w, []).append(i)
     least = 0 if n <= SHORT_WORDS else n // 256
@@ -200,6 +202,31 @@ def _aligned(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("u", "v", "text_u", "text_v").mapInArrow(run, "u binary, v binary")
 
 
+def _common_words(texts: list[list[int]]) -> Callable[[int], np.ndarray]:
+    """A function of ``i``: how many words text ``i`` has in common with each text, as bags. No common subsequence
+    is longer. The n-th occurrences of a word are one entry of an index, which has a place for every word of the texts."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    words = np.fromiter(chain.from_iterable(texts), np.int64, sizes.sum())
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    order = np.lexsort((owner, words))
+    changed = np.ones(len(words), bool)
+    changed[1:] = (np.diff(words[order]) != 0) | (np.diff(owner[order]) != 0)
+    places = np.arange(len(words))
+    occurrence = places - np.maximum.accumulate(np.where(changed, places, 0))
+    entry = np.empty(len(words), np.int64)
+    entry[order] = words[order] * (occurrence.max(initial=0) + 1) + occurrence
+    _, entry, count = np.unique(entry, return_inverse=True, return_counts=True)
+    owners = owner[np.argsort(entry, kind="stable")].astype(np.int32)
+    end, last = np.cumsum(count), np.cumsum(sizes)
+
+    def common(i: int) -> np.ndarray:
+        mine = entry[last[i] - sizes[i] : last[i]]
+        found = [owners[x:y] for x, y in zip((end[mine] - count[mine]).tolist(), end[mine].tolist())]
+        return np.bincount(np.concatenate(found), minlength=len(texts)) if found else np.zeros(len(texts), np.int64)
+
+    return common
+
+
 def _settle(rows: DataFrame, threshold: float) -> DataFrame:
     """Links (u, v) inside block pairs. Columns: key, a, b, outside, blk, node, comp, n_words, keys, text; pairs
     have one row of block ``a`` outside the largest class, at least, and lie in different classes."""
@@ -211,8 +238,10 @@ def _settle(rows: DataFrame, threshold: float) -> DataFrame:
             node, comp = group.column(5).to_pylist(), group.column(6).to_pylist()
             size = group.column(7).to_numpy()
             keys = group.column(8).flatten().to_numpy().reshape(len(node), -1)
-            one: dict[str, str] = {}  # equal words are one object: a block holds far fewer distinct ones
-            text = [[one.setdefault(w, w) for w in t.split()] for t in group.column(9).to_pylist()]
+            ids: dict[str, int] = {}  # words are numbers here: a block holds far fewer distinct ones
+            text = [[ids.setdefault(w, len(ids)) for w in t.split()] for t in group.column(9).to_pylist()]
+            common = None  # indexed when first needed
+            first_block, is_out, place = np.array(blk) == a, np.array(outside), np.arange(len(node))
             parent: dict = {}
 
             def find(x):
@@ -221,11 +250,16 @@ def _settle(rows: DataFrame, threshold: float) -> DataFrame:
                 return x
 
             links = []
-            for i in (i for i in range(len(node)) if outside[i] and blk[i] == a):
-                ok = (np.minimum(size, size[i]) >= threshold * np.maximum(size, size[i])) & (keys[np.arange(len(node)), (keys == keys[i]).argmax(axis=1)] == key)
-                for j in np.nonzero(ok)[0].tolist():
-                    if outside[j] and not (j > i if blk[j] == a and b == a else blk[j] == b):
-                        continue
+            for i in np.nonzero(is_out & first_block)[0].tolist():
+                longer = np.maximum(size, size[i])
+                ok = np.minimum(size, size[i]) >= threshold * longer
+                ok &= ~is_out | (place > i if a == b else ~first_block)  # pairs outside the class are met once
+                at = np.nonzero(ok)[0]
+                at = at[keys[at, (keys[at] == keys[i]).argmax(axis=1)] == key]
+                if len(at):
+                    common = common or _common_words(text)
+                    at = at[common(i)[at] >= -np.floor(-threshold * longer[at])]
+                for j in at.tolist():
                     x, y = find(comp[i]), find(comp[j])
                     if x != y and similar(text[i], text[j], threshold):
                         parent[max(x, y)] = min(x, y)
@@ -239,17 +273,19 @@ def _settle(rows: DataFrame, threshold: float) -> DataFrame:
 def _pairs_of_blocks(members: DataFrame, block: int) -> DataFrame:
     """Rows of mixed buckets, for each block pair they are needed in: (a, b) with ``a`` a block outside the
     largest class, ``b`` another of those (b >= a) or, shifted by the number of those, one of the largest class.
-    Blocks hold about ``block`` words, so that a task's memory is bounded whatever the length of the texts."""
+    Blocks hold about ``block`` words, so that a task's memory is bounded whatever the length of the texts. A bucket
+    with no more words than a pair of blocks is one block, and each of its rows is needed once."""
     of: Callable = lambda n: F.greatest(F.ceil(n / F.lit(block)).cast("int"), F.lit(1))
-    sized = members.withColumn("ob", of(F.col("words_out"))).withColumn("ib", of(F.col("words_in")))
-    spread = F.pmod(F.xxhash64(F.lit(5), F.col("node")), F.when(F.col("outside"), F.col("ob")).otherwise(F.col("ib"))).cast("int")
-    placed = sized.withColumn("blk", F.when(F.col("outside"), spread).otherwise(F.col("ob") + spread))
+    whole = F.col("words_out") + F.col("words_in") <= 2 * block
+    sized = members.withColumn("ob", F.when(whole, 1).otherwise(of(F.col("words_out")))).withColumn("ib", F.when(whole, 0).otherwise(of(F.col("words_in"))))
+    spread = F.pmod(F.xxhash64(F.lit(5), F.col("node")), F.when(F.col("outside"), F.col("ob")).otherwise(F.greatest("ib", F.lit(1)))).cast("int")
+    placed = sized.withColumn("blk", F.when(F.col("outside"), spread).when(F.col("ib") == 0, 0).otherwise(F.col("ob") + spread))
     every: Column = F.sequence(F.lit(0), F.col("ob") - 1)
     mine = F.when(
         F.col("outside"),
         F.concat(
             F.transform(every, lambda o: F.struct(F.least(o, F.col("blk")).alias("a"), F.greatest(o, F.col("blk")).alias("b"))),
-            F.transform(F.sequence(F.col("ob"), F.col("ob") + F.col("ib") - 1), lambda i: F.struct(F.col("blk").alias("a"), i.alias("b"))),
+            F.transform(F.slice(F.sequence(F.col("ob"), F.col("ob") + F.col("ib")), 1, F.col("ib")), lambda i: F.struct(F.col("blk").alias("a"), i.alias("b"))),
         ),
     ).otherwise(F.transform(every, lambda o: F.struct(o.alias("a"), F.col("blk").alias("b"))))
     return placed.withColumn("__p", F.explode(mine)).select("key", F.col("__p.a").alias("a"), F.col("__p.b").alias("b"), "outside", "blk", "node", "comp", "n_words")

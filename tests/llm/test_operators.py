@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
@@ -625,6 +626,36 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch):
     assert order_minhash.near_duplicates(docs_frame(spark, texts).limit(0)).count() == 0
 
 
+def test_common_words_are_those_of_bags():
+    rng = random.Random(3)
+    texts = [[rng.randrange(12) for _ in range(rng.choice([0, 1, 5, 40]))] for _ in range(30)]
+    common = order_minhash._common_words(texts)
+    for i, t in enumerate(texts):
+        assert common(i).tolist() == [sum((Counter(t) & Counter(o)).values()) for o in texts]
+    assert order_minhash._common_words([[]])(0).tolist() == [0]
+
+
+def test_rows_of_a_small_mixed_bucket_are_needed_once(spark):
+    members = spark.range(400).selectExpr("1L AS key", "cast(id AS string) AS node", "90 AS n_words", "cast(id AS string) AS comp", "id > 5 AS outside", "90L * 394 AS words_out", "90L * 6 AS words_in")
+    assert order_minhash._pairs_of_blocks(members, 1_000_000).groupBy("a", "b", "blk").count().collect() == [(0, 0, 0, 400)]
+    placed = order_minhash._pairs_of_blocks(members, 10_000)  # four blocks and one: each pair has all its rows
+    assert {(r["a"], r["b"]) for r in placed.select("a", "b").distinct().collect()} == {(a, b) for b in range(5) for a in range(min(b + 1, 4))}
+    assert placed.where("outside").count() == 394 * 5 and placed.where("not outside").count() == 6 * 4
+
+
+def test_texts_that_share_a_passage_are_not_aligned(monkeypatch):
+    texts = ["same words " * 25 + " ".join(f"{i}x{w}" for w in range(40)) for i in range(200)]
+    texts[7], texts[9] = "new " + texts[3], texts[3].replace("3x5", "y")
+    n = len(texts)
+    columns = {"key": [1] * n, "a": [0] * n, "b": [0] * n, "outside": [i > 0 for i in range(n)], "blk": [0] * n, "node": [b"%d" % i for i in range(n)], "comp": [b"%d" % i for i in range(n)], "n_words": [len(t.split()) for t in texts], "keys": [[1]] * n, "text": texts}
+    real, aligned = order_minhash.similar, []
+    monkeypatch.setattr(order_minhash, "similar", lambda a, b, t: aligned.append(1) or real(a, b, t))
+    rows = type("Rows", (), {"select": lambda self, *names: self, "mapInArrow": lambda self, run, schema: run})()
+    links = [x for out in order_minhash._settle(rows, 0.8)(iter([pa.RecordBatch.from_pydict(columns)])) for x in out.to_pylist()]
+    assert len(links) == 2 and {x for link in links for x in link.values()} == {b"3", b"7", b"9"}
+    assert len(aligned) <= 3
+
+
 def test_scattered_edits_are_found(spark):
     rng = random.Random(12)
     words = [f"w{i}" for i in range(3000)]
