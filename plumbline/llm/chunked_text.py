@@ -8,6 +8,7 @@ chunks that can be encoded by themselves, and equal chunks need to be encoded on
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -19,6 +20,8 @@ import pyarrow.compute as pc
 #: A space that no chunk may start with: one before white space or the end.
 _LOOSE = re.compile(r" (?!\S)")
 _BEFORE = re.compile(r"(?= \S)")
+#: A chunk with no space but its first character, which a non-space follows.
+_SPACED = re.compile(r" [^\s][^ ]*")
 BATCH_CHARS = 4_000_000
 
 #: Encodes a list of strings: all ids in order, and the number of ids of each string.
@@ -31,26 +34,38 @@ def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
 
 
+def strings_of(array: pa.Array) -> list[str]:
+    """The values of a string array without nulls; ``to_pylist`` takes several times as long."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
 class Store:
-    """Ids of known strings in one array, with a row number for each string."""
+    """Ids of known strings in one array, with a row number for each string; ``hit`` marks rows that were found again."""
 
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
         self.n = self.used = 0
         self.ids, self.start, self.length = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.hit = np.zeros(1 << 14, bool)
 
     def add(self, strings: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.n + len(strings) > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+            self.start, self.length, self.hit = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.hit))
         self.ids[self.used : self.used + len(ids)] = ids
         at = slice(self.n, self.n + len(strings))
-        self.length[at] = lengths
+        self.length[at], self.hit[at] = lengths, False
         self.start[at] = self.used + np.cumsum(lengths) - lengths
         self.known.update(zip(strings, range(self.n, at.stop)))
         self.n, self.used = at.stop, self.used + len(ids)
 
+    def find(self, strings: list[str]) -> np.ndarray:
+        """The rows of the strings, -1 for unknown ones."""
+        rows = np.fromiter(map(self.known.get, strings, itertools.repeat(-1)), np.int64, len(strings))
+        self.hit[rows[rows >= 0]] = True
+        return rows
+
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows in order, and the number of ids of each."""
         lengths = self.length[rows]
@@ -63,8 +78,9 @@ class Store:
 
 
 class Cache:
-    """Ids of strings. At most ``max_entries`` are kept from call to call (the latest ones beyond that), and none
-    longer than ``longest``."""
+    """Ids of strings. At most ``max_entries`` are kept from call to call, and none longer than ``longest``. Where they
+    would be more, those stay that were found again since the last time, or else those of the call alone: most
+    strings occur once."""
 
     def __init__(self, encode: Encode, max_entries: int, longest: int = 64):
         self.encode, self.max_entries, self.longest = encode, max_entries, longest
@@ -72,11 +88,15 @@ class Cache:
 
     def rows(self, strings: list[str]) -> np.ndarray:
         """The rows of ``strings`` in the store, until :meth:`close`."""
-        found = list(map(self.store.known.get, strings))
-        new = [i for i, row in enumerate(found) if row is None]
+        rows = self.store.find(strings)
+        new = np.flatnonzero(rows < 0).tolist()
         if len(self.store.known) + len(new) > self.max_entries:
-            self.store = self.store.only(list({x for x, row in zip(strings, found) if row is not None}))
-            found = list(map(self.store.known.get, strings))
+            hit = self.store.hit.tolist()
+            kept = [x for x, row in self.store.known.items() if hit[row]]
+            if len(kept) + len(new) > self.max_entries:
+                kept = list({strings[i] for i in np.flatnonzero(rows >= 0).tolist()})
+            self.store = self.store.only(kept)
+            rows = self.store.find(strings)
         store = self.store
         short = [i for i in new if len(strings[i]) <= self.longest]
         long = [i for i in new if len(strings[i]) > self.longest]
@@ -87,11 +107,7 @@ class Cache:
             store.add(texts, *self.encode(texts))
         for i in long:
             store.known.pop(strings[i], None)
-            found[i] = 0
         self.keep = (first + len(short), int(store.start[first + len(short)]) if long else store.used)
-        for i in short:
-            found[i] = 0
-        rows = np.array(found, np.int64)
         rows[at] = first + np.arange(len(at))
         return rows
 
@@ -111,7 +127,7 @@ class PretokenEncoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts = [self.split(x) for x in texts]
         coded = pa.array([p for x in parts for p in x], pa.string()).dictionary_encode()
-        rows = self.cache.rows(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        rows = self.cache.rows(strings_of(coded.dictionary))[coded.indices.to_numpy()]
         ids, lengths = self.cache.store.gather(rows)
         self.cache.close()
         total = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([len(x) for x in parts])]
@@ -139,8 +155,8 @@ class ChunkEncoder:
         split = pc.split_pattern(pa.array(["" if i in odd else x for i, x in enumerate(texts)] if odd else texts, pa.string()), " ")
         coded = split.flatten().dictionary_encode()
         begin = split.offsets.to_numpy().astype(np.int64)
-        firsts = [" " + x for x in coded.take(pa.array(begin[:-1])).to_pylist()]
-        distinct = coded.dictionary.to_pylist()
+        firsts = [" " + x for x in strings_of(coded.take(pa.array(begin[:-1])).dictionary_decode())]
+        distinct = strings_of(coded.dictionary)
         extra = list(dict.fromkeys([*firsts, *(x for chunks in odd.values() for x in chunks)]))
         known = self.cache.rows(distinct + extra)
         at = dict(zip(extra, known[len(distinct) :].tolist()))
@@ -175,35 +191,31 @@ def hf_chunks(tokenizer_path: str, special_as_text: bool = False) -> ChunkEncode
     def many(texts: list[str]) -> list[list[int]]:
         return [e.ids for i in range(0, len(texts), 256) for e in tokenizer.encode_batch_fast(texts[i : i + 256], add_special_tokens=False)]
 
-    mark = "\x0b"
-    (mark_id,) = tokenizer.encode(mark, add_special_tokens=False).ids
+    vocabulary = tokenizer.get_vocab()
+    spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+    spaced[[i for token, i in vocabulary.items() if token[:1] == "\u0120"]] = True  # a space as byte-level tokens write it
 
     def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Short chunks are encoded many at a time: a vertical tab between two of them is a token of its own, as
-        white space before a space and a non-space is. Chunks that could blend with it go one by one."""
+        """Chunks with one space, their first character, are encoded many at a time: each begins where a token with a
+        space does. Others, and groups with another number of such tokens than chunks, go one by one."""
         joint, single = [], []
         for i, x in enumerate(texts):
-            inside = x[:1] == " " and (x[1:].isalpha() or x[1:2].strip() and not x[-1].isspace() and mark not in x)
-            (joint if inside else single).append(i)
+            (joint if _SPACED.fullmatch(x) else single).append(i)
         groups = [joint[i : i + 400] for i in range(0, len(joint), 400)]
-        places, found = [], []
-        for group, ids in zip(groups, many([mark.join([texts[i] for i in group]) for group in groups])):
-            if ids.count(mark_id) == len(group) - 1:
-                places += group
-                found += ids
-                found.append(mark_id)
+        length, start, found, used = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), [], 0
+        for group, ids in zip(groups, many(["".join([texts[i] for i in group]) for group in groups])):
+            part = np.fromiter(ids, np.uint32, len(ids))
+            begin = np.flatnonzero(spaced[part])
+            if len(begin) == len(group) and begin[0] == 0:
+                start[group], length[group] = used + begin, np.diff(begin, append=len(part))
+                found.append(part)
+                used += len(part)
             else:
                 single += group
-        found = np.array(found, np.uint32)
-        ends = np.flatnonzero(found == mark_id)
-        length = np.zeros(len(texts), np.int64)
-        start = np.zeros(len(texts), np.int64)
-        length[places] = np.diff(ends, prepend=-1) - 1
-        start[places] = ends - length[places]
         alone = many([texts[i] for i in single])
         length[single] = [len(x) for x in alone]
-        start[single] = len(found) + np.cumsum(length[single]) - length[single]
-        ids = np.concatenate([found, *(np.array(x, np.uint32) for x in alone)])
+        start[single] = used + np.cumsum(length[single]) - length[single]
+        ids = np.concatenate([*found, *(np.array(x, np.uint32) for x in alone)])
         return ids[runs(start, length)], length
 
     return ChunkEncoder(encode, added)

@@ -164,6 +164,52 @@ def test_small_caches_change_nothing(spark):
     assert texts_of(shared, texts) == want
 
 
+def test_strings_found_again_stay_in_a_full_cache():
+    sent = Counter()
+
+    def encode(strings):
+        sent.update(strings)
+        return np.array([int(x[1:]) for x in strings], np.uint32), np.ones(len(strings), np.int64)
+
+    cache, common = chunked_text.Cache(encode, 100), [f"c{i}" for i in range(20)]
+    for k in range(12):
+        strings = [f"u{30 * k + i}" for i in range(30)] + common * (k % 3 < 2)
+        rows = cache.rows(strings)
+        ids, lengths = cache.store.gather(rows)
+        cache.close()
+        assert ids.tolist() == [int(x[1:]) for x in strings] and lengths.tolist() == [1] * len(strings)
+        assert len(cache.store.known) <= 100
+    assert max(sent.values()) == 1
+
+
+def test_the_library_is_given_each_chunk_once_and_nothing_more(monkeypatch):
+    sent = []
+
+    class Recorder:
+        def __init__(self, tokenizer):
+            object.__setattr__(self, "tokenizer", tokenizer)
+
+        from_file = classmethod(lambda cls, path: cls(Tokenizer.from_file(path)))
+
+        def __getattr__(self, name):
+            return getattr(self.tokenizer, name)
+
+        def __setattr__(self, name, value):
+            setattr(self.tokenizer, name, value)
+
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(texts)
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr("tokenizers.Tokenizer", Recorder)
+    encoder = chunked_text.hf_chunks.__wrapped__(JSON)
+    chunks = [f"{w}{i}{end}" for i in range(900) for w, end in (("w", ""), ("é漢", ",\n"), ("<|", "\xa0"), ("ab\x0b", "\t\t"))]
+    texts = [" ".join(["x", *chunks, *chunks])] * 2
+    assert texts_of(encoder, texts) == plain_ids(texts)
+    assert sorted(w for x in sent if x != "x" for w in x[1:].split(" ")) == sorted(["x", *chunks])
+    assert len(sent) < 20
+
+
 def test_packing_places_every_piece(spark, monkeypatch):
     monkeypatch.setattr(dominance_packing, "BUCKET_ROWS", 7)
     texts = ODD + [f"w{i} " * (i % 40) for i in range(150)]
