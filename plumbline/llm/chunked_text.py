@@ -89,7 +89,7 @@ class Cache:
     def rows(self, strings: list[str]) -> np.ndarray:
         """The rows of ``strings`` in the store, until :meth:`close`."""
         rows = self.store.find(strings)
-        new = np.flatnonzero(rows < 0).tolist()
+        new = np.flatnonzero(rows < 0)
         if len(self.store.known) + len(new) > self.max_entries:
             hit = self.store.hit.tolist()
             kept = [x for x, row in self.store.known.items() if hit[row]]
@@ -98,12 +98,14 @@ class Cache:
             self.store = self.store.only(kept)
             rows = self.store.find(strings)
         store = self.store
-        short = [i for i in new if len(strings[i]) <= self.longest]
-        long = [i for i in new if len(strings[i]) > self.longest]
+        texts = [strings[i] for i in new]
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        short, long = (new[x].tolist() for x in (size <= self.longest, size > self.longest))
         at = np.array(short + long, np.int64)
         first = store.n
-        if new:
+        if long:
             texts = [strings[i] for i in at.tolist()]
+        if texts:
             store.add(texts, *self.encode(texts))
         for i in long:
             store.known.pop(strings[i], None)
@@ -189,7 +191,7 @@ def hf_chunks(tokenizer_path: str, special_as_text: bool = False) -> ChunkEncode
     added = () if special_as_text else tuple(x.content for x in tokenizer.get_added_tokens_decoder().values())
 
     def many(texts: list[str]) -> list[list[int]]:
-        return [e.ids for i in range(0, len(texts), 256) for e in tokenizer.encode_batch_fast(texts[i : i + 256], add_special_tokens=False)]
+        return [e.ids for i in range(0, len(texts), 8) for e in tokenizer.encode_batch_fast(texts[i : i + 8], add_special_tokens=False)]
 
     vocabulary = tokenizer.get_vocab()
     spaced = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -201,7 +203,7 @@ def hf_chunks(tokenizer_path: str, special_as_text: bool = False) -> ChunkEncode
         joint, single = [], []
         for i, x in enumerate(texts):
             (joint if _SPACED.fullmatch(x) else single).append(i)
-        groups = [joint[i : i + 400] for i in range(0, len(joint), 400)]
+        groups = [joint[i : i + 100] for i in range(0, len(joint), 100)]
         length, start, found, used = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), [], 0
         for group, ids in zip(groups, many(["".join([texts[i] for i in group]) for group in groups])):
             part = np.fromiter(ids, np.uint32, len(ids))

@@ -207,7 +207,7 @@ def test_the_library_is_given_each_chunk_once_and_nothing_more(monkeypatch):
     texts = [" ".join(["x", *chunks, *chunks])] * 2
     assert texts_of(encoder, texts) == plain_ids(texts)
     assert sorted(w for x in sent if x != "x" for w in x[1:].split(" ")) == sorted(["x", *chunks])
-    assert len(sent) < 20
+    assert len(sent) < len(chunks) // 50
 
 
 def test_packing_places_every_piece(spark, monkeypatch):
